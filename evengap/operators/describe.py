@@ -13,11 +13,9 @@ from evengap.operators.select import is_peak, route_bin
 from evengap.operators.skew import GROUP_ROWS, along
 from evengap.roles import BUNCH_RATIO, DEFAULT, HEADWAY_BOUNDS, HORIZONS, Roles
 
-ROWS = F.lit(1)
-
 
 def _pct(cond: Column, total: Column | None = None) -> Column:
-    return ratio(F.count_if(cond), F.count(ROWS) if total is None else total, 100.0)
+    return ratio(F.count_if(cond), F.count("*") if total is None else total, 100.0)
 
 
 def _cv(col: str = "headway_obs") -> Column:
@@ -32,7 +30,7 @@ def _positive_headways(df: DataFrame) -> DataFrame:
 
 def inventory(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Rows, distinct trips and distinct days per line, from one pre-aggregation by (line, trip, day)."""
-    cells = df.groupBy(roles.line, roles.trip, roles.day).agg(F.count(ROWS).alias("__n"))
+    cells = df.groupBy(roles.line, roles.trip, roles.day).agg(F.count("*").alias("__n"))
     return cells.groupBy(roles.line).agg(
         F.sum("__n").alias("n_rows"), F.countDistinct(roles.trip).alias("n_trips"),
         F.countDistinct(roles.day).alias("n_days"))
@@ -40,7 +38,7 @@ def inventory(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
 
 def headway_modes(df: DataFrame, n: int = 10) -> DataFrame:
     """Most frequent scheduled headways."""
-    counts = df.filter(F.col("headway_sched").isNotNull()).groupBy("headway_sched").agg(F.count(ROWS).alias("n"))
+    counts = df.filter(F.col("headway_sched").isNotNull()).groupBy("headway_sched").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "headway_sched").limit(n)
 
 
@@ -50,7 +48,7 @@ def quality_profile(df: DataFrame, bounds: tuple[int, int] = HEADWAY_BOUNDS) ->
     return df.agg(
         _pct(obs.isNull()).alias("pct_null"), _pct(obs < 0).alias("pct_negative"),
         _pct(obs > bounds[1]).alias("pct_over_3h"), _pct(obs < bounds[0]).alias("pct_below_bound"),
-        _pct((obs < 0) & (obs >= bounds[0])).alias("pct_overtake"), F.count(ROWS).alias("total"))
+        _pct((obs < 0) & (obs >= bounds[0])).alias("pct_overtake"), F.count("*").alias("total"))
 
 
 def base_rate(df: DataFrame, by: Sequence[str] = ("LineNumber",)) -> DataFrame:
@@ -82,7 +80,7 @@ def dwell_profile(df: DataFrame) -> DataFrame:
 
 
 def split_profile(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
-    return df.groupBy("split").agg(F.count(ROWS).alias("n"), F.min(roles.day).alias("first_day"),
+    return df.groupBy("split").agg(F.count("*").alias("n"), F.min(roles.day).alias("first_day"),
                                    F.max(roles.day).alias("last_day"))
 
 
@@ -118,8 +116,8 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def key_profile(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Rows and distinct row keys; equal when the key is unique."""
-    per_key = df.groupBy(*roles.key).agg(F.count(ROWS).alias("__n"))
-    return per_key.agg(F.sum("__n").alias("n_rows"), F.count(ROWS).alias("n_keys"))
+    per_key = df.groupBy(*roles.key).agg(F.count("*").alias("__n"))
+    return per_key.agg(F.sum("__n").alias("n_rows"), F.count("*").alias("n_keys"))
 
 
 def hourly_coverage(weather: DataFrame, first: str = "2024-01-01 00:00:00",
@@ -143,7 +141,7 @@ def stop_route_counts(df: DataFrame, month: int | None = None, roles: Roles = DE
 
 def line_variants(df: DataFrame, roles: Roles = DEFAULT, variant: str = "shape_id") -> DataFrame:
     """The most frequent variant of each line and direction; ties go to the first name."""
-    counts = df.groupBy(roles.line, roles.direction, variant).agg(F.count(ROWS).alias("n"))
+    counts = df.groupBy(roles.line, roles.direction, variant).agg(F.count("*").alias("n"))
     # One row per variant is left, so the window sorts a handful of rows per line.
     w = W.partitionBy(roles.line, roles.direction).orderBy(F.desc("n"), F.col(variant).asc_nulls_last())
     return counts.withColumn("rk", F.row_number().over(w)).filter("rk = 1").drop("rk")
@@ -165,8 +163,8 @@ def screen_lines(df: DataFrame, max_headway: int = 600, roles: Roles = DEFAULT)
     A frequent line has a median of at most ``max_headway`` seconds.
     """
     trips = (df.groupBy(roles.line, roles.day, roles.trip)
-             .agg(F.count(ROWS).alias("__n"), F.count(roles.obs_arr).alias("__seen"))
-             .groupBy(roles.line).agg(F.count(ROWS).alias("n_trips"), F.sum("__n").alias("n_rows"),
+             .agg(F.count("*").alias("__n"), F.count(roles.obs_arr).alias("__seen"))
+             .groupBy(roles.line).agg(F.count("*").alias("n_trips"), F.sum("__n").alias("n_rows"),
                                       F.sum("__seen").alias("__seen")))
     peak = (df.filter(is_peak() & F.col("headway_sched").isNotNull())
             .groupBy(roles.line).agg(F.median("headway_sched").alias("median_peak_headway")))
@@ -187,7 +185,7 @@ def sfm_overflow(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def outage_days(df: DataFrame, limit_pct: float = 50.0, by: Sequence[str] = (), roles: Roles = DEFAULT) -> DataFrame:
     """Days (and groups) on which more than ``limit_pct`` per cent of the arrivals are missing."""
     return (df.groupBy(roles.day, *by).agg(_pct(F.col(roles.obs_arr).isNull()).alias("pct_missing"),
-                                           F.count(ROWS).alias("n"))
+                                           F.count("*").alias("n"))
             .filter(F.col("pct_missing") > limit_pct))
 
 
@@ -195,7 +193,7 @@ def trip_completeness(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Trips with any observed arrival against scheduled trips, per line and day."""
     trips = df.groupBy(roles.line, roles.day, roles.trip).agg(F.count(roles.obs_arr).alias("__seen"))
     return (trips.groupBy(roles.line, roles.day)
-            .agg(F.count(ROWS).alias("n_scheduled"), F.count_if(F.col("__seen") > 0).alias("n_observed"))
+            .agg(F.count("*").alias("n_scheduled"), F.count_if(F.col("__seen") > 0).alias("n_observed"))
             .withColumn("completeness", ratio("n_observed", "n_scheduled")))
 
 
@@ -206,9 +204,9 @@ def sequence_gaps(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS
     differs from its number of rows; no ordering is needed.
     """
     trips = df.groupBy(*roles.trip_group).agg(
-        F.count(ROWS).alias("__n"), (F.max(roles.seq) - F.min(roles.seq) + 1).alias("__span"))
+        F.count("*").alias("__n"), (F.max(roles.seq) - F.min(roles.seq) + 1).alias("__span"))
     gap = F.col("__span") != F.col("__n")
-    return trips.agg(F.count(ROWS).alias("n_trips"), F.count_if(gap).alias("n_with_gap"), _pct(gap).alias("pct_gap"))
+    return trips.agg(F.count("*").alias("n_trips"), F.count_if(gap).alias("n_with_gap"), _pct(gap).alias("pct_gap"))
 
 
 def split_coverage(df: DataFrame) -> DataFrame:
@@ -246,7 +244,7 @@ def grid_points(df: DataFrame, stops: DataFrame, roles: Roles = DEFAULT) -> Data
 def rate_by(df: DataFrame, *by: str, state: str = "is_bunched_now") -> DataFrame:
     """Per cent bunched and rows per group, over rows with a valid ratio."""
     return (df.filter(F.col("headway_ratio").isNotNull()).groupBy(*by)
-            .agg((100.0 * F.avg(F.col(state).cast("int"))).alias("pct_bunched"), F.count(ROWS).alias("n")))
+            .agg((100.0 * F.avg(F.col(state).cast("int"))).alias("pct_bunched"), F.count("*").alias("n")))
 
 
 def rate_by_hour(df: DataFrame, first_hour: int = 4, last_hour: int = 26, roles: Roles = DEFAULT) -> DataFrame:
@@ -283,7 +281,7 @@ def ratio_histogram(df: DataFrame, width: float = 0.05) -> DataFrame:
     counts = (df.filter(F.col("headway_ratio").isNotNull())
               .groupBy(bucket(clamp("headway_ratio", -1.0, 3.0), width).alias("bucket"),
                        F.when(is_peak(), "peak").otherwise("off-peak").alias("period"))
-              .agg(F.count(ROWS).alias("n")))
+              .agg(F.count("*").alias("n")))
     return _with_density(counts, "period", width)
 
 
@@ -294,13 +292,13 @@ def _standing(df: DataFrame) -> DataFrame:
 def dwell_histogram(df: DataFrame, width: float = 2.0) -> DataFrame:
     """Histogram of the dwell clamped to 120 s, interchanges against ordinary stops, with density."""
     counts = (_standing(df).groupBy(bucket(clamp("dwell", hi=120), width).alias("bucket"), "is_interchange")
-              .agg(F.count(ROWS).alias("n")))
+              .agg(F.count("*").alias("n")))
     return _with_density(counts, "is_interchange", width)
 
 
 def dwell_by_stop_type(df: DataFrame) -> DataFrame:
     return _standing(df).groupBy("is_interchange").agg(
-        F.avg("dwell").alias("mean_dwell"), F.median("dwell").alias("median_dwell"), F.count(ROWS).alias("n"))
+        F.avg("dwell").alias("mean_dwell"), F.median("dwell").alias("median_dwell"), F.count("*").alias("n"))
 
 
 def _feedback_rows(df: DataFrame) -> DataFrame:
@@ -312,7 +310,7 @@ def histogram_2d(df: DataFrame) -> DataFrame:
     return (_feedback_rows(df)
             .groupBy(bucket(clamp("headway_ratio", hi=3.0), 0.05).alias("hr_bucket"),
                      bucket(clamp("delay_growth", -60, 120), 5).alias("dg_bucket"))
-            .agg(F.count(ROWS).alias("n")))
+            .agg(F.count("*").alias("n")))
 
 
 def histogram_matrix(df: DataFrame, dg_buckets: Sequence[int] = range(-60, 125, 5)) -> DataFrame:
@@ -332,7 +330,7 @@ def rate_along_route(df: DataFrame, n: int = 5, roles: Roles = DEFAULT) -> DataF
     rows = (df.filter(F.col("headway_ratio").isNotNull() & (F.col("last_seq") > F.col("first_seq")))
             .select(roles.line, route_bin(n, roles).alias("seg"), F.col("is_bunched").cast("int").alias("__b")))
     return (rows.groupingSets([[F.col(roles.line), F.col("seg")], [F.col("seg")]], F.col(roles.line), F.col("seg"))
-            .agg((100.0 * F.avg("__b")).alias("pct_bunched"), F.count(ROWS).alias("n")))
+            .agg((100.0 * F.avg("__b")).alias("pct_bunched"), F.count("*").alias("n")))
 
 
 # --- variation of headways -------------------------------------------------------------------------------------------
@@ -340,7 +338,7 @@ def rate_along_route(df: DataFrame, n: int = 5, roles: Roles = DEFAULT) -> DataF
 def cv_by_stop(df: DataFrame, min_n: int = 30, roles: Roles = DEFAULT) -> DataFrame:
     """Coefficient of variation of the observed headway per line and stop number."""
     return (_positive_headways(df).groupBy(roles.line, roles.seq)
-            .agg(_cv().alias("cv"), F.count(ROWS).alias("n")).filter(F.col("n") >= min_n))
+            .agg(_cv().alias("cv"), F.count("*").alias("n")).filter(F.col("n") >= min_n))
 
 
 def smooth_cv(cv: DataFrame, n: int = 5, roles: Roles = DEFAULT) -> DataFrame:
@@ -387,7 +385,7 @@ def excess_wait(df: DataFrame, by: Sequence[str] = ("LineNumber",)) -> DataFrame
 def cv_cells(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """CV per line, direction, stop, hour and month."""
     return (_positive_headways(df).groupBy(roles.line, roles.direction, roles.stop, "hour_of_day", "month_of_year")
-            .agg(_cv().alias("cv"), F.count(ROWS).alias("n")))
+            .agg(_cv().alias("cv"), F.count("*").alias("n")))
 
 
 # --- order and samples -----------------------------------------------------------------------------------------------
@@ -419,7 +417,7 @@ def with_hash_rank(df: DataFrame, key: Sequence[str], seed: int, name: str = "ra
     of rows. Only the bucket counts are summed up in one place.
     """
     rows = df.withColumn("__h", hash_order(key, seed)).withColumn("__b", F.substring("__h", 1, 4))
-    counts = rows.groupBy("__b").agg(F.count(ROWS).alias("__n"))
+    counts = rows.groupBy("__b").agg(F.count("*").alias("__n"))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     local = F.row_number().over(W.partitionBy("__b").orderBy("__h", *key))

@@ -32,7 +32,7 @@ Columns = Callable[[WindowSpec], dict[str, Column]]
 def input_bytes(df: DataFrame) -> int:
     """Total size of the relations a DataFrame reads, from Spark's own statistics."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -42,11 +42,9 @@ BASE_FEATURES = [
 ]
 
 
-def model_dataset(hw: DataFrame, stops: DataFrame, transfers: DataFrame, alerts: DataFrame, weather: DataFrame,
-                  counts: DataFrame, zone: str = TIME_ZONE, ks=HORIZONS, fit_split: str | None = None,
-                  gate_leader: bool = False, same_pair: bool = False, roles: Roles = DEFAULT,
-                  limit: int = GROUP_ROWS) -> DataFrame:
-    """Features known at the stop, labels ``ks`` stops ahead and the temporal split.
+def trip_features(hw: DataFrame, ks=HORIZONS, fit_split: str | None = None, gate_leader: bool = False,
+                  same_pair: bool = False, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
+    """The part of the model table that comes from the events alone: history, labels and split.
 
     ``fit_split`` limits the stop medians to one split, ``gate_leader`` hides
     leader columns until the leader has arrived, ``same_pair`` drops labels whose
@@ -63,8 +61,12 @@ def model_dataset(hw: DataFrame, stops: DataFrame, transfers: DataFrame, alerts:
     own = [roles.day, roles.line, roles.direction, roles.trip, "VehicleID", roles.stop, roles.seq, roles.dist,
            roles.arr_delay, roles.dep_delay]
     labels = [c for k in ks for c in (f"y_k{k}", f"target_valid_k{k}")]
-    df = df.select(*[c for c in own if c in df.columns], *select.check_leakage(BASE_FEATURES), *labels, "split")
+    return df.select(*[c for c in own if c in df.columns], *select.check_leakage(BASE_FEATURES), *labels, "split")
+
 
+def enrich_events(df: DataFrame, stops: DataFrame, transfers: DataFrame, alerts: DataFrame, weather: DataFrame,
+                  counts: DataFrame, zone: str = TIME_ZONE, roles: Roles = DEFAULT) -> DataFrame:
+    """Stop attributes, weather and alerts; the rows stay the same."""
     df = enrich.with_stop_grid(df, stops, roles)
     df = enrich.with_weather(df, weather, zone)
     df = enrich.with_route_counts(df, counts, roles)
@@ -72,6 +74,13 @@ def model_dataset(hw: DataFrame, stops: DataFrame, transfers: DataFrame, alerts:
     return enrich.flag_active(df, alerts, on=roles.stop)
 
 
+def model_dataset(hw: DataFrame, stops: DataFrame, transfers: DataFrame, alerts: DataFrame, weather: DataFrame,
+                  counts: DataFrame, zone: str = TIME_ZONE, roles: Roles = DEFAULT, **options) -> DataFrame:
+    """Features known at the stop, labels some stops ahead, enrichment and split."""
+    return enrich_events(trip_features(hw, roles=roles, **options), stops, transfers, alerts, weather, counts,
+                         zone, roles)
+
+
 def extra_features(hw: DataFrame, ds: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
     """Long-horizon candidates, one row per event, keyed like the model table."""
     df = enrich.join_features(hw, ds.select(*roles.key, "is_interchange"), "left", roles)
