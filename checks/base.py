@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.ctes import with_tables
 from checks.fixture import Tables
+from evengap.operators.skew import shared_folder
 
 # f: double compared to nine decimals; g: large double, compared to three.
 _DIGITS = {"f": 9, "g": 3}
@@ -41,8 +41,8 @@ class Check:
             return None
         out = []
         for name, kind in self.columns():
-            c = f"CAST({name} AS {_DUCK[kind]})"
-            out.append(f"{f'round({c}, {_DIGITS[kind]}) + 0.0' if kind in _DIGITS else c} AS {name}")
+            c = f'CAST("{name}" AS {_DUCK[kind]})'
+            out.append(f"{f'round({c}, {_DIGITS[kind]}) + 0.0' if kind in _DIGITS else c} AS \"{name}\"")
         return with_tables(f"SELECT {', '.join(out)} FROM ({self.sql}) AS answer", self.extra)
 
 
@@ -60,10 +60,5 @@ def check(name: str, spec: str, sql: str | None = None, **extra: str):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for written tables: in the cluster's shared folder, or a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        return tempfile.mkdtemp(prefix="evengap-")
-    return f"{shared.rstrip('/')}/evengap-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    """A new folder for written tables."""
+    return shared_folder(spark)

@@ -17,7 +17,6 @@ from evengap.operators.describe import sample_n, with_hash_rank
 from evengap.operators.enrich import union_all
 from evengap.operators.evaluate import average_precision
 from evengap.operators.select import BOOLEAN, CATEGORICAL, EXTRA_GROUPS
-from evengap.operators.skew import durable
 
 # Default parameters of the boosted trees.
 GBT_DEFAULTS = {"learning_rate": 0.1, "max_leaf_nodes": 31, "min_samples_leaf": 20, "max_depth": None, "max_iter": 200}
@@ -70,19 +69,28 @@ def gbt_parameters(params: dict) -> dict:
     return out
 
 
-def fit_gbt(train: DataFrame, columns: Sequence[str], params: dict | None = None, val: DataFrame | None = None,
-            seed: int = 0) -> PipelineModel:
-    """Weighted gradient boosted trees; with ``val`` rows boosting stops when their loss stops falling."""
+def boosting_frame(train: DataFrame, columns: Sequence[str],
+                   val: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
+    """The fitted preparation, and the vectors, labels and weights of training and held-out rows."""
     prepare = fit_preprocess(train, columns, scale=False)
-    data = class_weights(prepare.transform(train)).withColumn("held_out", F.lit(False))
-    model = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", seed=seed,
-                          **gbt_parameters(params or {}))
+    needed = ["features", "y", "w", "held_out"]
+    data = class_weights(prepare.transform(train)).withColumn("held_out", F.lit(False)).select(*needed)
     if val is not None:
         held = class_weights(prepare.transform(val)).withColumn("held_out", F.lit(True))
-        needed = ["features", "y", "w", "held_out"]
-        data = union_all(data.select(*needed), held.select(*needed))
-        model = model.setValidationIndicatorCol("held_out")
-    return PipelineModel(stages=[*prepare.stages, model.fit(data)])
+        data = union_all(data, held.select(*needed))
+    return prepare, data
+
+
+def boost(data: DataFrame, params: dict, early_stop: bool, seed: int = 0):
+    model = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", seed=seed, **gbt_parameters(params))
+    return (model.setValidationIndicatorCol("held_out") if early_stop else model).fit(data)
+
+
+def fit_gbt(train: DataFrame, columns: Sequence[str], params: dict | None = None, val: DataFrame | None = None,
+            seed: int = 0) -> PipelineModel:
+    """Weighted gradient boosted trees; with ``val`` rows boosting stops when their loss stops falling."""
+    prepare, data = boosting_frame(train, columns, val)
+    return PipelineModel(stages=[*prepare.stages, boost(data, params or {}, val is not None, seed)])
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], name: str = "score") -> DataFrame:
@@ -91,7 +99,7 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], name: str =
     return out.select(*keep, "y", vector_to_array("probability")[1].alias(name))
 
 
-def pr_auc(model: PipelineModel, df: DataFrame) -> float | None:
+def pr_auc(model, df: DataFrame) -> float | None:
     row = average_precision(score(model, df.withColumn("__g", F.lit(0)), ["__g"]), ["__g"]).first()
     return row["pr_auc"] if row else None
 
@@ -139,7 +147,3 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     return (losses.withColumn("loss", F.lit(base) - F.col("pr_auc")).groupBy("feature")
             .agg(F.avg("loss").alias("mean"), F.stddev_pop("loss").alias("std")))
 
-
-def keep_frame(df: DataFrame) -> DataFrame:
-    """Fix a frame that several fits read, so that the pipeline behind it runs once."""
-    return durable(df)

@@ -75,7 +75,7 @@ def fit_preprocess(train: DataFrame, columns: Sequence[str], scale: bool = True,
         src = f"CAST(`{o['source']}` AS DOUBLE)"
         raw = f"CAST({src} IS NULL AS DOUBLE)" if o["indicator"] else f"coalesce({src}, {_number(o['fill'])})"
         exprs.append((f"({raw} - {_number(o['mean'])}) / {_number(o['std'])}" if scale else raw) + f" AS `z_{o['name']}`")
-    filled = [f"coalesce(CAST(`{c}` AS STRING), '') AS `c_{c}`" for c in categories]
+    filled = [f"coalesce(CAST(`{c}` AS STRING), 'missing') AS `c_{c}`" for c in categories]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs + filled)} FROM __THIS__")]
     if categories:
         stages.append(StringIndexer(inputCols=[f"c_{c}" for c in categories], handleInvalid="keep",

@@ -15,10 +15,11 @@ run per block. Results are equal on both routes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,16 +36,28 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the reliable checkpoint folder and read it from there."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that every executor can read: under ``spark.checkpoint.dir``, which a cluster has to name.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evengap-"))
-    return df.checkpoint(eager=True)
+        return tempfile.mkdtemp(prefix="evengap-")
+    return f"{root.rstrip('/')}/evengap-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a DataFrame as a table in the shared folder and read it from there.
+
+    Cuts the lineage, survives lost executors, fixes the rows, and leaves a scan
+    that prunes columns and knows its size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -78,7 +91,7 @@ def _split(df: DataFrame, keys: list[str], limit: int):
 
 
 def _ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows with the number of the sorted range they fall in, fixed by a checkpoint."""
+    """Rows with the number of the sorted range they fall in, fixed by writing them out."""
     by_range = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     return durable(by_range.withColumn("__part", F.spark_partition_id()))
 
