@@ -30,11 +30,14 @@ class Check:
         return [tuple(c.rsplit(":", 1)) for c in self.spec.split()]
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.answer(Tables(spark, sf_dir))
+
+    def answer(self, tables: Tables) -> DataFrame:
         out = []
         for name, kind in self.columns():
             c = F.col(name).cast(_SPARK[kind])
             out.append((F.round(c, _DIGITS[kind]) if kind in _DIGITS else c).alias(name))
-        return self.run(Tables(spark, sf_dir)).select(*out)
+        return self.run(tables).select(*out)
 
     def oracle(self) -> str | None:
         if self.sql is None:

@@ -192,11 +192,12 @@ CTES = {
     "reached": """SELECT k, CAST(level AS DOUBLE) AS level, min(score) FILTER (precision >= level) AS threshold,
         max(recall) FILTER (precision >= level) AS recall, max(fp) FILTER (precision >= level) AS fp
         FROM cuts, levels GROUP BY k, level""",
-    "steady": """SELECT k, avg(y) AS base_rate, count(*) FILTER (now AND y = 1) AS tp,
-        count(*) FILTER (now AND y = 0) AS fp, count(*) FILTER (NOT now AND y = 1) AS fn,
-        count(*) FILTER (NOT now AND y = 0) AS tn FROM (""" + " UNION ALL ".join(
-        f"SELECT {k} AS k, y_k{k} AS y, is_bunched_now AS now FROM trips WHERE split = 'test' "
-        f"AND y_k{k} IS NOT NULL AND is_bunched_now IS NOT NULL" for k in HORIZONS) + ") GROUP BY k",
+    "steady": " UNION ALL ".join(
+        f"SELECT {k} AS k, avg(y_k{k}) AS base_rate, count(*) FILTER (is_bunched_now AND y_k{k} = 1) AS tp, "
+        f"count(*) FILTER (is_bunched_now AND y_k{k} = 0) AS fp, "
+        f"count(*) FILTER (NOT is_bunched_now AND y_k{k} = 1) AS fn, "
+        f"count(*) FILTER (NOT is_bunched_now AND y_k{k} = 0) AS tn "
+        f"FROM trips WHERE split = 'test' AND is_bunched_now IS NOT NULL" for k in HORIZONS),
 }
 _NAMES = re.compile(r"\b(" + "|".join(sorted(CTES, key=len, reverse=True)) + r")\b")
 

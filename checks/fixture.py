@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evengap import HORIZONS
 from evengap.operators import chains, describe, enrich
-from evengap.operators.skew import running
+from evengap.operators.skew import durable, running
 from evengap.plans import enrich_events, extra_features, headways, sequence_dataset, trip_features
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -151,3 +151,14 @@ class Tables:
     def test_numbered(self) -> DataFrame:
         """Test scores with the row number of the stop on its trip."""
         return self.score(self.onsets, ["rn"])
+
+
+class StoredTables(Tables):
+    """The same tables with every stage written once and read back, as the stages of a production run are."""
+
+    STAGES = ("events", "hw", "trips", "ds", "extra")
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        for stage in self.STAGES:
+            self.__dict__[stage] = durable(getattr(super(), stage))
