@@ -23,11 +23,10 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 def with_stop_grid(df: DataFrame, stops: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Weather grid cell (0.1 degree) of the stop, and whether it belongs to a station."""
-    dim = stops.select(F.col("stop_id").alias(roles.stop), "stop_lat", "stop_lon", "parent_station")
+    dim = stops.select(F.col("stop_id").alias(roles.stop), F.round("stop_lat", 1).alias("grid_lat"),
+                       F.round("stop_lon", 1).alias("grid_lon"), F.col("parent_station").alias("__station"))
     return (df.join(dim, roles.stop, "left")
-            .withColumns({"grid_lat": F.round("stop_lat", 1), "grid_lon": F.round("stop_lon", 1),
-                          "has_parent_station": F.col("parent_station").isNotNull()})
-            .select(*df.columns, "grid_lat", "grid_lon", "has_parent_station"))
+            .withColumn("has_parent_station", F.col("__station").isNotNull()).drop("__station"))
 
 
 def weather_features(hourly: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
@@ -53,15 +52,13 @@ def with_weather(df: DataFrame, weather: DataFrame, zone: str = TIME_ZONE, ts: s
                         F.col("ts_utc").alias("__hour"), *WEATHER_COLUMNS)
     return (df.withColumns({"__lat": grid_key("grid_lat"), "__lon": grid_key("grid_lon"),
                             "__hour": hour_floor(local_to_utc(ts, zone))})
-            .join(wx, ["__lat", "__lon", "__hour"], "left")
-            .select(*df.columns, *WEATHER_COLUMNS))
+            .join(wx, ["__lat", "__lon", "__hour"], "left").drop("__lat", "__lon", "__hour"))
 
 
 def with_route_counts(df: DataFrame, counts: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Number of lines serving the stop; 1 where unknown."""
     return (df.join(counts.select(roles.stop, "n_routes_serving"), roles.stop, "left")
-            .withColumn("n_routes_serving", F.coalesce("n_routes_serving", F.lit(1).cast("long")))
-            .select(*df.columns, "n_routes_serving"))
+            .withColumn("n_routes_serving", F.coalesce("n_routes_serving", F.lit(1).cast("long"))))
 
 
 def flag_interchange(df: DataFrame, transfers: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
@@ -70,19 +67,23 @@ def flag_interchange(df: DataFrame, transfers: DataFrame, roles: Roles = DEFAULT
             .union(transfers.select(F.col("to_stop_id"))).filter(F.col(roles.stop).isNotNull()).distinct()
             .withColumn("__hit", F.lit(True)))
     return (df.join(ends, roles.stop, "left")
-            .withColumn("is_interchange", F.col("__hit").isNotNull())
-            .select(*df.columns, "is_interchange"))
+            .withColumn("is_interchange", F.col("__hit").isNotNull()).drop("__hit"))
 
 
-def merged_intervals(intervals: DataFrame, on: str, start: str, end: str) -> DataFrame:
+def merged_intervals(intervals: DataFrame, on: str, start: str, end: str,
+                     span: tuple[str, str] | None = None) -> DataFrame:
     """Disjoint intervals per key and calendar day covering the same instants.
 
     Copies and equal starts are merged before the shuffle, so a key with very
-    many intervals leaves at most one row per distinct start in a day.
+    many intervals leaves at most one row per distinct start in a day. ``span``
+    (first and last day) keeps open-ended intervals from being spelled out
+    beyond the days of the events.
     """
-    day = (intervals.filter(F.col(start) <= F.col(end))
-           .select(on, start, end,
-                   F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("__day")))
+    first, last = F.to_date(start), F.to_date(end)
+    if span is not None:
+        first, last = F.greatest(first, F.lit(span[0]).cast("date")), F.least(last, F.lit(span[1]).cast("date"))
+    day = (intervals.filter((F.col(start) <= F.col(end)) & (first <= last))
+           .select(on, start, end, F.explode(F.sequence(first, last)).alias("__day")))
     midnight = F.col("__day").cast("timestamp_ntz")
     clipped = day.select(
         on, "__day", F.greatest(F.col(start).cast("timestamp_ntz"), midnight).alias("__s"),
@@ -97,21 +98,21 @@ def merged_intervals(intervals: DataFrame, on: str, start: str, end: str) -> Dat
 
 def flag_active(df: DataFrame, intervals: DataFrame, on: str = "observed_stop_id", ts: str = "event_ts_arr",
                 start: str = "start", end: str = "end", interval_key: str = "stop_id",
-                name: str = "under_active_alert") -> DataFrame:
+                name: str = "under_active_alert", span: tuple[str, str] | None = None) -> DataFrame:
     """Whether any interval of the key covers the instant, both ends included.
 
     The range condition runs inside an equi-join on (key, calendar day). The
     intervals are disjoint, so a row meets at most one of them and the left
     join keeps the row count.
     """
-    spans = (merged_intervals(intervals, interval_key, start, end)
+    spans = (merged_intervals(intervals, interval_key, start, end, span)
              .select(F.col(interval_key).alias("__key"), F.col("__day").alias("__span_day"), "__s", "__e"))
     rows = df.withColumn("__day", F.to_date(ts))
     cond = ((F.col(on) == F.col("__key")) & (F.col("__day") == F.col("__span_day"))
             & F.col(ts).between(F.col("__s"), F.col("__e")))
     return (rows.join(spans, cond, "left")
             .withColumn(name, F.col("__s").isNotNull())
-            .select(*df.columns, name))
+            .drop("__day", "__key", "__span_day", "__s", "__e"))
 
 
 def with_leader_state(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
@@ -133,7 +134,7 @@ def leader_state_by_join(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     return (df.join(leaders, [*pair, "leader_trip_id"], "left")
             .withColumns({"leader_headway_ratio": F.when(first, F.col("__r")),
                           "leader_speed": F.when(first, F.col("__v"))})
-            .select(*df.columns, "leader_headway_ratio", "leader_speed"))
+            .drop("__r", "__v"))
 
 
 def join_features(a: DataFrame, b: DataFrame, how: str = "inner", roles: Roles = DEFAULT) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evengap.operators.select import check_leakage
-from evengap.operators.skew import GROUP_ROWS, along
+from evengap.operators.skew import GROUP_ROWS, LOOK, along
 from evengap.roles import DEFAULT, HORIZONS, Roles
 
 SEQUENCE_STEPS = 6
@@ -36,8 +36,8 @@ def combine(*builders):
     return lambda w: {name: c for b in builders for name, c in b(w).items()}
 
 
-def _trip(df: DataFrame, builder, roles: Roles, limit: int, back: int = 0, ahead: int = 0) -> DataFrame:
-    return along(df, roles.trip_group, [F.col(roles.seq)], builder, back=back, ahead=ahead, limit=limit)
+def _trip(df: DataFrame, builder, roles: Roles, limit: int, back: int = 0, ahead: int = 0, hot=LOOK) -> DataFrame:
+    return along(df, roles.trip_group, [F.col(roles.seq)], builder, back=back, ahead=ahead, limit=limit, hot=hot)
 
 
 def with_lags(df: DataFrame, col: str, ns: Sequence[int], name: str | None = None, roles: Roles = DEFAULT,
@@ -56,12 +56,12 @@ def rolling_sum(df: DataFrame, col: str, n: int, name: str, roles: Roles = DEFAU
     return _trip(df, rolling_columns(col, n, name), roles, limit, back=n - 1)
 
 
-def with_history(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
+def with_history(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS, hot=LOOK) -> DataFrame:
     """All short-history features in one pass over the trip."""
     builder = combine(
         lag_columns("headway_ratio", (1, 2, 3)), closing_columns(3),
         rolling_columns("delay_growth", 3, "cum_delay_growth_3"), lag_columns("speed_mps", (1, 2), "speed"))
-    return _trip(df, builder, roles, limit, back=3)
+    return _trip(df, builder, roles, limit, back=3, hot=hot)
 
 
 def stop_medians(df: DataFrame, col: str, name: str, roles: Roles = DEFAULT) -> DataFrame:
@@ -79,12 +79,11 @@ def with_rel_median(df: DataFrame, fit_split: str | None = None, roles: Roles =
     base = df if fit_split is None else df.filter(F.col("split") == fit_split)
     medians = stop_medians(base, "dwell", "__median", roles)
     return (df.join(medians, roles.stop, "left")
-            .withColumn("dwell_rel_median", F.col("dwell") - F.col("__median"))
-            .select(*df.columns, "dwell_rel_median"))
+            .withColumn("dwell_rel_median", F.col("dwell") - F.col("__median")).drop("__median"))
 
 
 def with_targets(df: DataFrame, ks: Sequence[int] = HORIZONS, same_pair: bool = False, roles: Roles = DEFAULT,
-                 limit: int = GROUP_ROWS) -> DataFrame:
+                 limit: int = GROUP_ROWS, hot=LOOK) -> DataFrame:
     """Label ``k`` stops later on the same trip, and whether the trip gets that far.
 
     With ``same_pair`` the label is also null when the leader there is another
@@ -100,7 +99,7 @@ def with_targets(df: DataFrame, ks: Sequence[int] = HORIZONS, same_pair: bool =
             out[f"target_valid_k{k}"] = F.lead(roles.seq, k).over(w).isNotNull()
         return out
 
-    return _trip(df, columns, roles, limit, ahead=max(ks))
+    return _trip(df, columns, roles, limit, ahead=max(ks), hot=hot)
 
 
 _LONG_LAGS = combine(
@@ -138,7 +137,7 @@ def with_ahead(df: DataFrame, ns: Sequence[int] = (5, 8), train_to: int = 9, rol
 
 def _with_train_median(df: DataFrame, train_to: int, roles: Roles) -> DataFrame:
     medians = stop_medians(df.filter(F.col("month_of_year") <= train_to), "dwell", "med_dwell_train", roles)
-    return df.join(medians, roles.stop, "left").select(*df.columns, "med_dwell_train")
+    return df.join(medians, roles.stop, "left")
 
 
 def with_long_features(df: DataFrame, train_to: int = 9, roles: Roles = DEFAULT,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evengap.functions import add_seconds, dow0, safe_div, service_midnight
-from evengap.operators.skew import GROUP_ROWS, along
+from evengap.operators.skew import GROUP_ROWS, LOOK, along
 from evengap.roles import BUNCH_RATIO, DEFAULT, GAP_RATIO, HEADWAY_BOUNDS, Roles
 
 
@@ -36,9 +36,10 @@ def _run_time(roles: Roles):
     return lambda w: {"run_time": F.col(roles.obs_arr) - F.lag(roles.obs_dep).over(w)}
 
 
-def with_trip_context(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
+def with_trip_context(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS, hot=LOOK) -> DataFrame:
     """Trip bounds and running time in one pass over the trip."""
-    return along(df, roles.trip_group, [F.col(roles.seq)], _run_time(roles), _bounds(roles), back=1, limit=limit)
+    return along(df, roles.trip_group, [F.col(roles.seq)], _run_time(roles), _bounds(roles), back=1, limit=limit,
+                 hot=hot)
 
 
 def with_dwell(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
@@ -58,7 +59,7 @@ def with_speed(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     return df.withColumn("speed_mps", F.when(F.col("run_time") > 0, safe_div(roles.dist, "run_time")))
 
 
-def scheduled_headway(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
+def scheduled_headway(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS, hot=LOOK) -> DataFrame:
     """Pair every row with the trip scheduled before it at the same stop.
 
     Adds the leader's id, the scheduled and observed headway to it, and the
@@ -77,15 +78,15 @@ def scheduled_headway(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_
         }
 
     order = [F.col(roles.sched_arr).asc_nulls_last(), F.col(roles.trip).asc_nulls_last()]
-    return along(df, roles.headway_group, order, columns, back=1, limit=limit)
+    return along(df, roles.headway_group, order, columns, back=1, limit=limit, hot=hot)
 
 
-def observed_headway(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
+def observed_headway(df: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS, hot=LOOK) -> DataFrame:
     """Gap to the vehicle that actually arrived before, whatever the timetable says."""
     order = [F.col(roles.obs_arr).asc_nulls_last(), F.col(roles.trip).asc_nulls_last()]
     return along(df, roles.headway_group, order,
                  lambda w: {"headway_obs_orderdef": F.col(roles.obs_arr) - F.lag(roles.obs_arr).over(w)},
-                 back=1, limit=limit)
+                 back=1, limit=limit, hot=hot)
 
 
 def with_headway_ratio(df: DataFrame, bounds: tuple[int, int] = HEADWAY_BOUNDS) -> DataFrame:

@@ -28,6 +28,7 @@ CHECK_BYTES = 256 << 20
 BROADCAST_ROWS = 100_000
 
 Columns = Callable[[WindowSpec], dict[str, Column]]
+LOOK = object()  # "find the large groups yourself"
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -81,10 +82,11 @@ def large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None
     return F.broadcast(found) if n <= BROADCAST_ROWS else found
 
 
-def _split(df: DataFrame, keys: list[str], limit: int):
+def _split(df: DataFrame, keys: list[str], limit: int, hot):
     if not keys:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    hot = large_groups(df, keys, limit)
+    if hot is LOOK:
+        hot = large_groups(df, keys, limit)
     if hot is None:
         return df, None, keys
     return same_keys(df, hot, keys, "left_anti"), same_keys(df, hot, keys, "left_semi"), keys
@@ -107,16 +109,20 @@ def _with_offsets(parts: DataFrame, keys: list[str], sums: dict[str, Column]) ->
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column],
-            limit: int = GROUP_ROWS) -> DataFrame:
-    """Add running sums (first row of the group up to this row) named by ``sums``."""
-    cold, hot, by = _split(df, keys, limit)
+            limit: int = GROUP_ROWS, hot=LOOK) -> DataFrame:
+    """Add running sums (first row of the group up to this row) named by ``sums``.
+
+    ``hot`` takes the result of :func:`large_groups` when the caller has it.
+    """
+    cold, hot, by = _split(df, keys, limit, hot)
 
     def local(rows: DataFrame, part: list[str], offset: bool) -> DataFrame:
         w = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         cols = {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}
         if offset:
             cols = {n: c + F.col(f"__o_{n}") for n, c in cols.items()}
-        return rows.select(*df.columns, *[c.alias(n) for n, c in cols.items()])
+        kept = ["*"] if not offset and keys else df.columns
+        return rows.select(*kept, *[c.alias(n) for n, c in cols.items()])
 
     out = local(cold, by, False)
     if hot is None:
@@ -127,19 +133,20 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
 
 def along(df: DataFrame, keys: list[str], order: list[Column], columns: Columns | None = None,
           whole: dict[str, Column] | None = None, back: int = 0, ahead: int = 0,
-          limit: int = GROUP_ROWS) -> DataFrame:
+          limit: int = GROUP_ROWS, hot=LOOK) -> DataFrame:
     """Add window columns that reach at most ``back`` rows behind and ``ahead`` rows ahead.
 
     ``columns`` gets the ordered window and returns named columns; ``whole``
-    holds plain aggregates over the entire group.
+    holds plain aggregates over the entire group. ``hot`` takes the result of
+    :func:`large_groups` when the caller has it.
     """
     columns = columns or (lambda w: {})
     whole = whole or {}
-    cold, hot, by = _split(df, keys, limit)
+    cold, hot, by = _split(df, keys, limit, hot)
     named = lambda cols: [c.alias(n) for n, c in cols.items()]
 
     group = W.partitionBy(*by)
-    out = cold.select(*df.columns, *named({n: c.over(group) for n, c in whole.items()}),
+    out = cold.select(*(["*"] if keys else df.columns), *named({n: c.over(group) for n, c in whole.items()}),
                       *named(columns(group.orderBy(*order))))
     if hot is None:
         return out

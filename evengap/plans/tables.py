@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evengap.functions import safe_div
 from evengap.operators import enrich, features, headway, select
-from evengap.operators.skew import GROUP_ROWS
+from evengap.operators.skew import GROUP_ROWS, large_groups
 from evengap.roles import DEFAULT, HORIZONS, TIME_ZONE, Roles
 
 # The lines of the study.
@@ -24,12 +24,16 @@ def bus_subset(raw: DataFrame, mode: str = "BUS", lines: list[str] | None = None
 
 
 def headways(events: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
-    """Two shuffles: one by trip (bounds, running time), one by stop-day and line for both headway orders."""
+    """Two shuffles: one by trip (bounds, running time), one by stop-day and line for both headway orders.
+
+    Large groups are looked for once per kind, on the events themselves.
+    """
+    pairs = large_groups(events, roles.headway_group, limit)
     df = headway.with_event_ts(events, roles)
-    df = headway.with_trip_context(df, roles, limit)
+    df = headway.with_trip_context(df, roles, limit, large_groups(events, roles.trip_group, limit))
     df = headway.with_speed(headway.with_dwell(df, roles), roles)
-    df = headway.scheduled_headway(df, roles, limit)
-    df = headway.observed_headway(df, roles, limit)
+    df = headway.scheduled_headway(df, roles, limit, pairs)
+    df = headway.observed_headway(df, roles, limit, pairs)
     df = headway.with_headway_ratio(df)
     return headway.with_labels(headway.with_calendar(df))
 
@@ -54,8 +58,9 @@ def trip_features(hw: DataFrame, ks=HORIZONS, fit_split: str | None = None, gate
     if gate_leader:
         seen = F.col("headway_obs") > 0
         df = df.withColumns({c: F.when(seen, F.col(c)) for c in select.LEADER_FEATURES})
-    df = features.with_history(df, roles, limit)
-    df = features.with_targets(df, ks, same_pair, roles, limit)
+    trips = large_groups(hw, roles.trip_group, limit)
+    df = features.with_history(df, roles, limit, trips)
+    df = features.with_targets(df, ks, same_pair, roles, limit, trips)
     df = features.with_rel_median(df.withColumn("is_bunched_now", F.col("is_bunched")), fit_split, roles)
 
     own = [roles.day, roles.line, roles.direction, roles.trip, "VehicleID", roles.stop, roles.seq, roles.dist,
@@ -65,20 +70,25 @@ def trip_features(hw: DataFrame, ks=HORIZONS, fit_split: str | None = None, gate
 
 
 def enrich_events(df: DataFrame, stops: DataFrame, transfers: DataFrame, alerts: DataFrame, weather: DataFrame,
-                  counts: DataFrame, zone: str = TIME_ZONE, roles: Roles = DEFAULT) -> DataFrame:
+                  counts: DataFrame, zone: str = TIME_ZONE, roles: Roles = DEFAULT,
+                  alert_span: tuple[str, str] | None = None) -> DataFrame:
     """Stop attributes, weather and alerts; the rows stay the same."""
     df = enrich.with_stop_grid(df, stops, roles)
     df = enrich.with_weather(df, weather, zone)
     df = enrich.with_route_counts(df, counts, roles)
     df = enrich.flag_interchange(df, transfers, roles)
-    return enrich.flag_active(df, alerts, on=roles.stop)
+    return enrich.flag_active(df, alerts, on=roles.stop, span=alert_span)
 
 
 def model_dataset(hw: DataFrame, stops: DataFrame, transfers: DataFrame, alerts: DataFrame, weather: DataFrame,
-                  counts: DataFrame, zone: str = TIME_ZONE, roles: Roles = DEFAULT, **options) -> DataFrame:
-    """Features known at the stop, labels some stops ahead, enrichment and split."""
+                  counts: DataFrame, zone: str = TIME_ZONE, roles: Roles = DEFAULT,
+                  alert_span: tuple[str, str] | None = None, **options) -> DataFrame:
+    """Features known at the stop, labels some stops ahead, enrichment and split.
+
+    ``options`` go to :func:`trip_features`.
+    """
     return enrich_events(trip_features(hw, roles=roles, **options), stops, transfers, alerts, weather, counts,
-                         zone, roles)
+                         zone, roles, alert_span)
 
 
 def extra_features(hw: DataFrame, ds: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from evengap.session import configure  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,5 +16,6 @@ def spark():
                .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
+    configure(session)
     yield session
     session.stop()

@@ -89,6 +89,15 @@ def test_many_copies_of_an_alert_match_once(spark):
     assert enrich.flag_active(at(spark, (1, TS(2024, 1, 1, 9))), al).count() == 1
 
 
+def test_open_ended_alerts_stop_at_the_span(spark):
+    al = alerts(spark, (1, TS(2023, 12, 1), TS(2999, 1, 1)), (1, TS(2030, 1, 1), TS(2031, 1, 1)))
+    span = ("2024-01-01", "2024-01-03")
+    assert enrich.merged_intervals(al, "stop_id", "start", "end", span).count() == 3
+    ev = at(spark, (1, TS(2024, 1, 1)), (1, TS(2024, 1, 3, 23)), (1, TS(2023, 11, 1)))
+    flags = [r["under_active_alert"] for r in enrich.flag_active(ev, al, span=span).orderBy("i").collect()]
+    assert flags == [True, True, False]
+
+
 def test_weather_joins_on_the_utc_hour(spark):
     wx = enrich.weather_features(frame(spark, [(59.3, 18.1, TS(2024, 6, 1, h), float(h), 0.0, 0.0, 0.0, 1.0)
                                                for h in range(24)],
