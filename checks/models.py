@@ -51,7 +51,7 @@ def _(t):
 SCALED = ["headway_ratio", "dwell", "speed_mps"]
 
 
-@check("m02_preprocess", KEY + " ".join(f"z_{c}:f z_{c}_missing:f" for c in SCALED),
+@check("m02_preprocess", KEY + " ".join(f"z_{c}:h z_{c}_missing:h" for c in SCALED),
        "SELECT date, trip_id, stop_sequence, " + ", ".join(
            f"(coalesce({c}, m_{c}) - avg(coalesce({c}, m_{c})) OVER ()) / stddev_pop(coalesce({c}, m_{c})) OVER () AS z_{c}, "
            f"(({c} IS NULL)::INT - avg(({c} IS NULL)::INT) OVER ()) / stddev_pop(({c} IS NULL)::INT) OVER () AS z_{c}_missing"

@@ -570,7 +570,7 @@ def _(t):
     return sequence_statistics(t.sequences)
 
 
-@check("d07_standardize_sequence", KEY + "hr_0:f hr_5:f dw_2:f dg_5:f observed_0:f observed_5:f",
+@check("d07_standardize_sequence", KEY + "hr_0:h hr_5:h dw_2:h dg_5:h observed_0:f observed_5:f",
        """SELECT date, trip_id, stop_sequence, coalesce((hr_0 - hr_mean) / hr_std, 0) AS hr_0,
           coalesce((hr_5 - hr_mean) / hr_std, 0) AS hr_5, coalesce((dw_2 - dw_mean) / dw_std, 0) AS dw_2,
           coalesce((dg_5 - dg_mean) / dg_std, 0) AS dg_5, CAST(hr_0 IS NOT NULL AS INT) AS observed_0,
