@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks.base import KEY, check, scratch
 from checks.metrics import TWO_MODELS, _two_models
 from evengap.models import fit, prepare, search
-from evengap.operators import evaluate
+from evengap.operators import describe, evaluate
+from evengap.operators.enrich import join_features
 from evengap.operators.select import ABS_FEATURES, NUMERIC, feature_set, training_frame, with_abs_features
 from evengap.operators.skew import durable
 
@@ -120,13 +121,13 @@ def _(t):
 @check("m09_refit_top", LEDGER)
 def _(t):
     train, val, _ = _frames(t)
-    trials = search.run_trials(train.filter("trip_id % 2 = 0"), val, search.draw_configs(GRID, 2, 5, TUNED), NUMERIC, K)
+    part = describe.sample_n(train, [*ROW, "meta_stop_sequence"], 20_000)
+    trials = search.run_trials(part, val, search.draw_configs(GRID, 2, 5, TUNED), NUMERIC, K)
     return search.refit_top(trials, train, val, NUMERIC, K, n=1)[0]
 
 
 @check("m10_screen_features", LEDGER)
 def _(t):
-    from evengap.operators.enrich import join_features
     columns = feature_set("no_month+all") + ["month_of_year"]
     train, val, _ = _frames(t, 5, columns, join_features(t.ds, t.extra))
     return search.screen_features(train, val, 5, {**SMALL, "max_iter": 2}, ["current", "no_month+long_lags", "no_month+all"])
