@@ -87,7 +87,7 @@ def decode_ids(data: bytes) -> np.ndarray:
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, *, id: str = "doc_id", text: str = "text", end: int = 2,
               spaced: bool = False, percentile: float = 0.9, segment: int = 65_536) -> None:
-    """Write the ids of all documents, each with `end` behind it, in ascending order of id (nulls first, then text).
+    """Write the ids of all documents, each with `end` behind it, in ascending order of id (nulls first, then a hash of the text).
 
     A null text counts as empty; repeated ids and rows are kept as documents of their own; an empty table writes no
     segment. A document is never cut, so a segment is longer only where one document is.
@@ -117,8 +117,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, id: str = "doc_id",
                         pa.array([encode_ids(some, percentile)], pa.binary())], names=schema.names)
                     first += len(some)
 
-    (docs.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
-     .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the driver samples the columns that rows are ranged by, so a hash stands for the text there
+    (docs.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("text"), F.xxhash64(text_or_empty(text)).alias("h"))
+     .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
      .mapInArrow(segments, schema).write.parquet(path))
 
 
