@@ -25,29 +25,40 @@ PHONE = (r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{
 CARD = (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
         r"|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4} [0-9]{6} [0-9]{5})(?![0-9])")
 SECURITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-ANY = "|".join([EMAIL, ADDRESS, DATE, PHONE, CARD, SECURITY])
+#: Every number starts with one of few characters, which is looked for first.
+NUMBERS = "(?=[0-9+(])(?:" + "|".join([ADDRESS, DATE, PHONE, CARD, SECURITY]) + ")"
+ANY = f"{EMAIL}|{NUMBERS}"
+
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: what stands inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def permute(values: Column, radices: Column, key: str, tweak: Column) -> Column:
     """The Feistel network over the halves of a list of digits. tweak: values of one tweak form one permutation."""
-    half = F.floor(F.size(values) / 2).cast("int")
-    rest = F.size(values) - half
-    radix_left, radix_right = F.slice(radices, F.lit(1), half), F.slice(radices, half + 1, rest)
+    def add(side: Column, radix: Column, other: Column, name: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", name, F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 512)
+        shifts = let(digest, lambda d: F.transform(side, lambda _, i: F.conv(
+            F.substring(d, F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")))
+        return F.zip_with(F.zip_with(side, shifts, lambda v, x: v + x), radix, lambda v, r: F.pmod(v, r))
+
+    def network(x: Column) -> Column:
+        half = F.floor(F.size(x["v"]) / 2).cast("int")
+        rest = F.size(x["v"]) - half
 
-    def add(side: Column, radix: Column, other: Column, step: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, step.cast("string"),
-                                    F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 512)
-        return F.transform(side, lambda v, i: F.pmod(
-            v + F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.get(radix, i)))
+        def turn(state: Column, step: Column) -> Column:
+            name = F.concat_ws("|", F.lit(key), x["t"], step.cast("string"))
+            return F.when(step % 2 == 0, F.struct(
+                add(state["l"], state["rl"], state["r"], name).alias("l"), state["r"].alias("r"), state["rl"].alias("rl"), state["rr"].alias("rr"),
+            )).otherwise(F.struct(
+                state["l"].alias("l"), add(state["r"], state["rr"], state["l"], name).alias("r"), state["rl"].alias("rl"), state["rr"].alias("rr")))
 
-    def turn(state: Column, step: Column) -> Column:
-        left, right = state["l"], state["r"]
-        even = step % 2 == 0
-        return F.struct(F.when(even, add(left, radix_left, right, step)).otherwise(left).alias("l"),
-                        F.when(even, right).otherwise(add(right, radix_right, left, step)).alias("r"))
+        start = F.struct(F.slice(x["v"], F.lit(1), half).alias("l"), F.slice(x["v"], half + 1, rest).alias("r"),
+                         F.slice(x["r"], F.lit(1), half).alias("rl"), F.slice(x["r"], half + 1, rest).alias("rr"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
-    start = F.struct(F.slice(values, F.lit(1), half).alias("l"), F.slice(values, half + 1, rest).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
+    return let(F.struct(values.alias("v"), radices.alias("r"), tweak.alias("t")), network)
 
 
 def letters(text: Column) -> Column:
@@ -60,11 +71,14 @@ def digits(text: Column) -> Column:
 
 def fill(text: Column, what: str, new: Column) -> Column:
     """The text with its characters of the class `what` replaced by those of the list, in order."""
-    def one(c: Column, i: Column) -> Column:
-        before = F.length(F.regexp_replace(F.substring(text, F.lit(1), i), f"[^{what}]", ""))
-        return F.when(c.rlike(f"^[{what}]$"), F.get(new, before)).otherwise(c)
+    def filled(n: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            before = F.length(F.regexp_replace(F.substring(text, F.lit(1), i), f"[^{what}]", ""))
+            return F.when(c.rlike(f"^[{what}]$"), F.get(n, before)).otherwise(c)
 
-    return F.array_join(F.transform(letters(text), one), "")
+        return F.array_join(F.transform(letters(text), one), "")
+
+    return let(new, filled)
 
 
 def luhn(values: Column) -> Column:
@@ -83,26 +97,32 @@ def tens(values: Column) -> Column:
 
 def card(m: Column, key: str) -> Column:
     """The first digit, which names the kind of card, stays; the check digit is computed anew."""
-    all_digits = digits(m)
-    inner = F.slice(all_digits, F.lit(2), F.size(all_digits) - 2)
-    head = F.concat(F.slice(all_digits, 1, 1), permute(inner, tens(inner), key, F.concat(F.lit("card"), F.get(all_digits, F.lit(0)))))
-    total = luhn(F.concat(head, F.array(F.lit(0))))
-    return fill(m, "0-9", strings(F.concat(head, F.array(F.pmod(10 - total % 10, F.lit(10))))))
+    def number(d: Column) -> Column:
+        inner = F.slice(d, F.lit(2), F.size(d) - 2)
+        head = F.concat(F.slice(d, 1, 1), permute(inner, tens(inner), key, F.concat(F.lit("card"), F.get(d, F.lit(0)))))
+        return let(head, lambda h: F.concat(h, F.array(F.pmod(10 - luhn(F.concat(h, F.array(F.lit(0)))) % 10, F.lit(10)))))
+
+    return fill(m, "0-9", strings(let(digits(m), number)))
 
 
 def phone(m: Column, key: str) -> Column:
     """Ten national digits, the first of area and exchange within 2 to 9; abroad all but the country's first two."""
-    all_digits = digits(m)
     home = ~m.rlike(r"^\+[2-9]")
-    kept = F.when(home, F.size(all_digits) - 10).otherwise(2)
-    own = F.slice(all_digits, kept + 1, F.size(all_digits) - kept)
-    lead = lambda v, i: home & i.isin(0, 3) & (v >= 2)
-    # a leading 0 or 1 is no valid start: it has radix 1 and stays
-    radix = F.transform(own, lambda v, i: F.when(lead(v, i), 8).when(home & i.isin(0, 3), 1).otherwise(10))
-    base = F.transform(own, lambda v, i: F.when(lead(v, i), 2).when(home & i.isin(0, 3), v).otherwise(0))
-    value = F.zip_with(own, base, lambda v, b: v - b)
-    new = F.zip_with(permute(value, radix, key, F.lit("phone")), base, lambda v, b: v + b)
-    return fill(m, "0-9", strings(F.concat(F.slice(all_digits, F.lit(1), kept), new)))
+
+    def number(d: Column) -> Column:
+        kept = F.when(home, F.size(d) - 10).otherwise(2)
+
+        def own(x: Column) -> Column:
+            lead = lambda v, i: home & i.isin(0, 3) & (v >= 2)
+            # a leading 0 or 1 is no valid start: it has radix 1 and stays
+            radix = F.transform(x, lambda v, i: F.when(lead(v, i), 8).when(home & i.isin(0, 3), 1).otherwise(10))
+            base = F.transform(x, lambda v, i: F.when(lead(v, i), 2).when(home & i.isin(0, 3), v).otherwise(0))
+            value = F.zip_with(x, base, lambda v, b: v - b)
+            return F.zip_with(permute(value, radix, key, F.lit("phone")), base, lambda v, b: v + b)
+
+        return F.concat(F.slice(d, F.lit(1), kept), let(F.slice(d, kept + 1, F.size(d) - kept), own))
+
+    return fill(m, "0-9", strings(let(digits(m), number)))
 
 
 def address(m: Column, key: str) -> Column:
@@ -112,20 +132,25 @@ def address(m: Column, key: str) -> Column:
 
 def security(m: Column, key: str) -> Column:
     """The first digit stays."""
-    all_digits = digits(m)
-    rest = F.slice(all_digits, F.lit(2), F.size(all_digits) - 1)
-    return fill(m, "0-9", strings(F.concat(F.slice(all_digits, 1, 1), permute(rest, tens(rest), key, F.lit("security")))))
+    def number(d: Column) -> Column:
+        rest = F.slice(d, F.lit(2), F.size(d) - 1)
+        return F.concat(F.slice(d, 1, 1), permute(rest, tens(rest), key, F.lit("security")))
+
+    return fill(m, "0-9", strings(let(digits(m), number)))
 
 
 def email(m: Column, key: str) -> Column:
     """Letters and digits before the last label, each within its class."""
     body = F.regexp_extract(m, r"^(.*)\.", 1)
     code = F.transform(letters(F.regexp_replace(body, "[^A-Za-z0-9]", "")), F.ascii)
-    base = F.transform(code, lambda c: F.when(c < 58, 48).when(c < 91, 65).otherwise(97))
-    value = F.zip_with(code, base, lambda c, b: c - b)
-    new = permute(value, F.transform(base, lambda b: F.when(b == 48, 10).otherwise(26)), key, F.lit("email"))
-    chars = F.transform(F.zip_with(new, base, lambda v, b: v + b), lambda c: F.chr(c))
-    return F.concat(fill(body, "A-Za-z0-9", chars), F.substring(m, F.length(body) + 1, F.length(m)))
+
+    def chars(c: Column) -> Column:
+        base = F.transform(c, lambda x: F.when(x < 58, 48).when(x < 91, 65).otherwise(97))
+        value = F.zip_with(c, base, lambda x, b: x - b)
+        new = permute(value, F.transform(base, lambda b: F.when(b == 48, 10).otherwise(26)), key, F.lit("email"))
+        return F.transform(F.zip_with(new, base, lambda v, b: v + b), F.chr)
+
+    return F.concat(fill(body, "A-Za-z0-9", let(code, chars)), F.substring(m, F.length(body) + 1, F.length(m)))
 
 
 def date_fields(m: Column) -> tuple[Column, Column, Column, Column]:
@@ -152,10 +177,10 @@ def date(m: Column, key: str) -> Column:
     n = F.date_diff(F.make_date(year, month, day), F.lit(FIRST_DAY).cast("date"))
     a, b = DAY_RADICES
     new = permute(F.array(F.floor(n / b).cast("int"), (n % b).cast("int")), F.array(F.lit(a), F.lit(b)), key, F.lit("date"))
-    to = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(new, F.lit(0)) * b + F.get(new, F.lit(1)))
-    return (F.when(m.contains("-"), F.date_format(to, "yyyy-MM-dd"))
-            .when(m.rlike("^[0-9]{4}/"), F.date_format(to, "yyyy/MM/dd")).when(m.contains("."), F.date_format(to, "dd.MM.yyyy"))
-            .when(month_first, F.date_format(to, "MM/dd/yyyy")).otherwise(F.date_format(to, "dd/MM/yyyy")))
+    day = let(new, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(x, F.lit(0)) * b + F.get(x, F.lit(1))))
+    return let(day, lambda to: F.when(m.contains("-"), F.date_format(to, "yyyy-MM-dd"))
+               .when(m.rlike("^[0-9]{4}/"), F.date_format(to, "yyyy/MM/dd")).when(m.contains("."), F.date_format(to, "dd.MM.yyyy"))
+               .when(month_first, F.date_format(to, "MM/dd/yyyy")).otherwise(F.date_format(to, "dd/MM/yyyy")))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -183,11 +208,14 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", count: str |
     taken = set(docs.columns)
     found, parts, new = (next(n for n in (f"_{x}" + "_" * i for i in range(99)) if n not in taken)
                          for x in ("found", "parts", "new"))
-    has = F.col(text).rlike("[0-9@]")  # every kind has a digit or an @
-    out = (docs.withColumn(found, F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    mail, has = F.contains(F.col(text), F.lit("@")), F.col(text).rlike("[0-9]")  # a text with neither has no value
+    none = F.array().cast("array<string>")
+    out = (docs.withColumn(found, F.when(mail, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+                           .when(has, F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0))).otherwise(none))
            .withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
-           .withColumn(parts, F.when(F.size(found) > 0, F.split(text, ANY, -1))))
-    whole = F.concat_ws("", F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.get(found, i), F.lit("")))))
+           .withColumn(parts, F.when(F.size(found) == 0, none).when(mail, F.split(text, ANY, -1)).otherwise(F.split(text, NUMBERS, -1))))
+    whole = let(F.struct(F.col(found).alias("f"), F.col(new).alias("n")), lambda x: F.array_join(F.transform(
+        parts, lambda p, i: F.concat(p, F.coalesce(F.get(x["n"], i), F.get(x["f"], i), F.lit("")))), ""))
     out = out.withColumn(text, F.when(F.size(found) > 0, whole).otherwise(F.col(text)))
     if count:
         out = out.withColumn(count, F.size(F.filter(new, lambda x: x.isNotNull())).cast("long"))
