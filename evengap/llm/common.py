@@ -41,7 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, as --py-files would."""
+    """Send this package to the Python workers, as --py-files would, and bound the rows of a batch of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     files = sorted(PACKAGE.rglob("*.py"))
     name = f"evengap-{hashlib.md5(b''.join(p.read_bytes() for p in files)).hexdigest()}.zip"
     context = spark.sparkContext

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evengap.llm.wordids import forget_all, slices
+
 #: Letters that digits and signs imitate.
 IMITATED = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
             "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l"}
@@ -43,9 +45,12 @@ def trigrams(texts: list[str]) -> np.ndarray:
 def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(code, n) over every document; at most 64^3 rows however large the table."""
     def counted(batches):
+        forget_all()
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
-            total += trigrams([t for t in batch.column(0).to_pylist() if t])
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for a, b in slices([len(t) for t in texts], 500_000):
+                total += trigrams(texts[a:b])
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
@@ -88,7 +93,7 @@ def restore(word: str, model: np.ndarray, drop: float = DROP_SIGN) -> str:
 class Restorer:
     """Restored words of texts; what a token stands for is kept for the next text."""
 
-    def __init__(self, model: np.ndarray, most: int = 500_000):
+    def __init__(self, model: np.ndarray, most: int = 250_000):
         self.model, self.most, self.known = model, most, {}
 
     def word(self, token: str) -> tuple[str, ...]:

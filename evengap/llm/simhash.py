@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evengap.llm.common import stored
 from evengap.llm.graph import components
+from evengap.llm.wordids import forget_all
 
 BITS = 64
 
@@ -44,6 +45,7 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
     kind = docs.schema[id].dataType.simpleString()
 
     def hashed(batches):
+        forget_all()
         for batch in batches:
             fps = [fingerprint((t or "").encode(), width, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

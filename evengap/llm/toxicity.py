@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evengap.llm.common import stored
 from evengap.llm.deobfuscate import Restorer, count_trigrams, language_model
+from evengap.llm.wordids import forget_all
 
 TOP = 3
 PRIOR = 3.0
@@ -31,7 +32,7 @@ def remainder(id: str) -> Column:
 class Weights:
     """Log odds of features, and those of the heaviest words of a text."""
 
-    def __init__(self, odds: dict[str, float], most: int = 500_000):
+    def __init__(self, odds: dict[str, float], most: int = 200_000):
         self.odds, self.most, self.known = odds, most, {}
 
     def word(self, word: str) -> float:
@@ -95,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def counted(batches):
+        forget_all()
         restorer, seen = Restorer(shared.value), {}
         for batch in batches:
             for t, y, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -119,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
         [log_odds({r.f: (r.t1, r.n1) for r in found}, base), log_odds({r.f: (r.t0, r.n0) for r in found}, base)])
 
     def weighed(batches):
+        forget_all()
         restorer, other = Restorer(shared.value), [Weights(x) for x in halves.value]
         for batch in batches:
             x = [[*other[half].heaviest(restorer.words(t or "")), float(y)]
@@ -140,6 +143,7 @@ def score(docs: DataFrame, fitted: dict, *, text: str = "text", name: str = "sco
     schema = kept.drop("_scored").withColumn(name, F.lit(0.0)).schema
 
     def scored(batches):
+        forget_all()
         restorer, odds, w = Restorer(shared.value["model"]), Weights(shared.value["odds"]), shared.value["weights"]
         for batch in batches:
             x = np.array([odds.heaviest(restorer.words(t or "")) for t in batch.column(batch.num_columns - 1).to_pylist()])

@@ -25,7 +25,7 @@ def encoder(path: str, spaced: bool) -> "WordIds":
 class WordIds:
     """spaced: a word's leading space is part of it (byte-level files); else white space only separates."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
@@ -115,6 +115,11 @@ class WordIds:
         return ids, counts
 
 
+def forget_all() -> None:
+    """Free what encoders keep in this worker: other operators call it, since workers are used again."""
+    KEPT.clear()
+
+
 def slices(sizes: list[int], most: int):
     """Ranges of neighbours whose sizes add up to `most` at most, or single ones beyond it."""
     start, total = 0, 0
