@@ -115,7 +115,7 @@ def _(t):
 def _(t):
     train, val, _ = _frames(t)
     first = search.run_trials(train, val, search.draw_configs(GRID, 1, 5, TUNED), NUMERIC, K)
-    return search.refine(train, val, first, NUMERIC, K, space=GRID, limit=2)
+    return search.refine(train, val, first, NUMERIC, K, space=GRID)
 
 
 @check("m09_refit_top", LEDGER)

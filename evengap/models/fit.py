@@ -82,7 +82,9 @@ def boosting_frame(train: DataFrame, columns: Sequence[str],
 
 
 def boost(data: DataFrame, params: dict, early_stop: bool, seed: int = 0):
-    model = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", seed=seed, **gbt_parameters(params))
+    # growing ends when the held-out loss stands still, not when a round gains less than Spark's default of one per cent
+    model = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", seed=seed, maxBins=255, validationTol=1e-5,
+                          **gbt_parameters(params))
     return (model.setValidationIndicatorCol("held_out") if early_stop else model).fit(data)
 
 

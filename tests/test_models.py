@@ -76,12 +76,29 @@ def test_parameters_of_the_trees():
     assert fit.gbt_parameters({"max_features": 0.5})["featureSubsetStrategy"] == "0.5"
 
 
-def test_neighbours_are_one_step_away_and_untried():
+def test_neighbours_are_one_step_away_and_untried(spark):
     space = {"a": [1, 2, 3], "b": [None, 6]}
     best = {"a": 2, "b": None, "max_iter": 9}
-    got = [c["params"] for c in search.neighbours(best, space, [best, {"a": 1, "b": None, "max_iter": 9}])]
-    assert got == [{"a": 3, "b": None, "max_iter": 9}, {"a": 2, "b": 6, "max_iter": 9}]
-    assert search.draw_configs(space, 3, 1) == search.draw_configs(space, 3, 1)
+    tried = spark.createDataFrame([(search.canonical(best),), (search.canonical({**best, "a": 1}),)], "params string")
+    got = search.neighbours(spark, best, space, tried).orderBy("parameter", "place").collect()
+    assert [r["params"] for r in got] == [search.canonical({**best, "a": 3}), search.canonical({**best, "b": 6})]
+    assert search.draw_configs(space, 3, 1) == search.draw_configs(space, 3, 1) != search.draw_configs(space, 3, 2)
+
+
+def test_changed_parameters_are_fitted_again(spark, rows, tmp_path):
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    path = f"{tmp_path}/ledger"
+    for rate in (0.1, 0.3, 0.3):
+        config = {"name": "rs0", "params": {"learning_rate": rate, "max_iter": 2, "max_leaf_nodes": 4}}
+        got = search.run_trials(train, val, [config], COLUMNS, 3, path)
+    assert got.count() == 2
+    assert search.run_trials(train, val, [config], COLUMNS[:2], 3, path).count() == 3
+
+
+def test_boosting_keeps_rounds_of_small_gain(rows):
+    params = {"max_iter": 25, "max_leaf_nodes": 4, "learning_rate": 0.05}
+    model = fit.fit_gbt(rows.filter("id % 3 > 0"), COLUMNS, params, rows.filter("id % 3 = 0"))
+    assert model.stages[-1].getNumTrees > 10
 
 
 def test_feature_set_needs_a_gain(spark):
