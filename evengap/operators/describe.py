@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -123,12 +124,14 @@ def key_profile(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
 def hourly_coverage(weather: DataFrame, first: str = "2024-01-01 00:00:00",
                     last: str = "2024-12-31 23:00:00") -> DataFrame:
     """Hours present and missing per grid cell of the period."""
-    hours = weather.sparkSession.sql(
-        f"SELECT explode(sequence(TIMESTAMP_NTZ'{first}', TIMESTAMP_NTZ'{last}', INTERVAL 1 HOUR)) AS ts_utc")
-    expected = hours.count()
+    span = datetime.fromisoformat(last) - datetime.fromisoformat(first)
+    expected = int(span.total_seconds()) // 3600 + 1
+    ts = F.col("ts_utc")
+    inside = ts.between(F.expr(f"TIMESTAMP_NTZ'{first}'"), F.expr(f"TIMESTAMP_NTZ'{last}'"))
+    # hours count from the first one; a cell without any of them is missing all
+    whole = F.expr(f"pmod(timestampdiff(SECOND, TIMESTAMP_NTZ'{first}', ts_utc), 3600) = 0")
     present = (weather.withColumns({"lat_key": grid_key("grid_lat"), "lon_key": grid_key("grid_lon")})
-               .join(F.broadcast(hours), "ts_utc", "left_semi")
-               .groupBy("lat_key", "lon_key").agg(F.countDistinct("ts_utc").alias("hours_present")))
+               .groupBy("lat_key", "lon_key").agg(F.countDistinct(F.when(inside & whole, ts)).alias("hours_present")))
     return present.withColumn("hours_missing", F.lit(expected) - F.col("hours_present"))
 
 
@@ -148,9 +151,13 @@ def line_variants(df: DataFrame, roles: Roles = DEFAULT, variant: str = "shape_i
 
 
 def line_paths(df: DataFrame, stops: DataFrame, roles: Roles = DEFAULT, variant: str = "shape_id") -> DataFrame:
-    """Stops of the most frequent variant with their median place on the trip and coordinates."""
-    top = line_variants(df, roles, variant).drop("n")
-    places = (df.join(top, [roles.line, roles.direction, variant], "left_semi")
+    """Stops of the most frequent variant with their median place on the trip and coordinates.
+
+    Rows without a variant count as a variant of their own.
+    """
+    keys = [roles.line, roles.direction, variant]
+    top = line_variants(df, roles, variant).select(*[F.col(c).alias(f"__{c}") for c in keys])
+    places = (df.join(top, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], "left_semi")
               .groupBy(roles.line, roles.direction, roles.stop).agg(F.median(roles.seq).alias("place")))
     where = stops.select(F.col("stop_id").alias(roles.stop), "stop_lat", "stop_lon")
     return places.join(where, roles.stop).select(roles.line, roles.direction, roles.stop, "place",

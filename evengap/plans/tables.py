@@ -16,7 +16,7 @@ from evengap.operators.skew import GROUP_ROWS, large_groups
 from evengap.roles import DEFAULT, HORIZONS, TIME_ZONE, Roles
 
 # The lines of the study.
-SELECTED_LINES = ["4", "116", "117", "179", "401", "474", "541", "607"]
+SELECTED_LINES = ["4", "117", "179", "401", "474", "541", "607", "116"]
 
 
 def bus_subset(raw: DataFrame, mode: str = "BUS", lines: list[str] | None = None, roles: Roles = DEFAULT) -> DataFrame:
