@@ -74,7 +74,7 @@ CTES = {
         CASE WHEN stop_id % 3 = 0 THEN stop_id * 10 END AS parent_station
         FROM (SELECT DISTINCT observed_stop_id AS stop_id FROM trip_stop)""",
     "transfers": """SELECT (p_partkey % 4) * 1000 + (p_partkey % 2) * 100 + 1 + p_partkey % 20 AS from_stop_id,
-        (p_partkey % 3) * 1000 + 1 + p_size % 20 AS to_stop_id FROM part WHERE p_partkey < 40""",
+        (p_partkey % 3) * 1000 + 1 + p_size % 20 AS to_stop_id FROM part""",
     "alerts": """SELECT stop_id, start_ts, start_ts + to_hours(CAST(1 + event_id % 48 AS INTEGER)) AS end_ts FROM (
         SELECT event_id, (user_id % 4) * 1000 + (user_id % 2) * 100 + 1 + event_id % 20 AS stop_id,
                ts + to_days(CAST(30 * (event_id % 11) AS INTEGER)) AS start_ts

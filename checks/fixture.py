@@ -60,7 +60,7 @@ class Tables:
 
     @cached_property
     def transfers(self) -> DataFrame:
-        return self.raw("part").filter("p_partkey < 40").selectExpr(
+        return self.raw("part").selectExpr(
             "(p_partkey % 4) * 1000 + (p_partkey % 2) * 100 + 1 + p_partkey % 20 AS from_stop_id",
             "(p_partkey % 3) * 1000 + 1 + p_size % 20 AS to_stop_id")
 
