@@ -55,5 +55,11 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(path))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like those wanted that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"_{x}" + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken) for x in names]
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

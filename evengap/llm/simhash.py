@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evengap.llm.common import stored
+from evengap.llm.common import free_names, stored
 from evengap.llm.graph import components
 from evengap.llm.wordids import forget_all
 
@@ -40,18 +40,20 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * count > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long. A null text has no words."""
-    kind = docs.schema[id].dataType.simpleString()
+def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42,
+                 also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns `also`, fp): the fingerprint of every row's whole text as a signed long. A null text has no words."""
+    kept = docs.select(F.col(id).alias("doc_id"), *also, F.col(text).cast("string").alias("_text"))
+    schema = kept.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def hashed(batches):
         forget_all()
         for batch in batches:
-            fps = [fingerprint((t or "").encode(), width, seed) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint((t or "").encode(), width, seed) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))], names=schema.names)
 
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string")).mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return kept.mapInArrow(hashed, schema)
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -142,6 +144,13 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             .mapInArrow(linked, "a long, b long"))
 
 
+def rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint: its smallest doc_id, and the fingerprint that names its component."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42,
                 radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id that links of at most `radius` bits reach.
@@ -151,19 +160,28 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", widt
     ignored, and an empty table gives no rows. Fingerprints are written once; a fingerprint's copies are one node.
     """
     fps = stored(fingerprints(docs, id=id, text=text, width=width, seed=seed), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted(fps, radius)
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(heads, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of the smallest id in each component; one row of an id that occurs repeatedly with near copies.
+    """One row of each component: that of the smallest id, and of several such rows the one of the smallest text hash.
 
-    Rows without an id are compared too, but stay only where their component has no id at all.
+    Rows without an id are compared too, but stay only where their component has no id at all. Of rows that are alike in
+    id and text any one stays. All columns are kept; an empty table gives no rows.
     """
-    marked = near_copies(docs, id=id, text=text, radius=radius)
-    keep = marked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id)).distinct()
-    return docs.join(keep, id, "left_semi")
+    name, own = free_names(docs, "name", "own")
+    marked = docs.withColumns({name: F.coalesce(F.col(id).cast("string"), F.lit("")),
+                               own: F.xxhash64(F.col(text), F.col(id).isNull())})
+    fps = stored(fingerprints(marked, id=id, text=text, also=(name, own)), "fingerprints")
+    # equal rows, then equal fingerprints, are summed before the components meet them
+    rows = fps.groupBy("fp", "doc_id", name, own).agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", own, name, "n")).alias("x")
+    firsts = rows.groupBy("fp").agg(least).select("fp", "x.*")
+    keep = stored(firsts.join(rooted(fps, radius).select("fp", "root"), "fp").groupBy("root").agg(least)
+                  .select(f"x.{name}", f"x.{own}", "x.n"), "firsts")
+    once = marked.join(keep.where("n = 1"), [name, own], "left_semi")
+    repeated = marked.join(keep.where("n > 1"), [name, own], "left_semi").dropDuplicates([name, own])
+    return once.unionByName(repeated).select(*docs.columns)
