@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evengap.llm.common import stored
+from evengap.llm.common import free_names, stored
 from evengap.llm.deobfuscate import Restorer, count_trigrams, language_model
 from evengap.llm.wordids import forget_all
 
@@ -136,11 +136,14 @@ def score(docs: DataFrame, fitted: dict, *, text: str = "text", name: str = "sco
     """The columns `also` (all by default) of every row, and the score of its whole text from 0 to 1.
 
     Null texts count as empty and get the score of a text without any heavy word. Rows are scored by themselves:
-    repeated rows score alike, other columns play no part, and an empty table gives none.
+    repeated rows score alike, other columns play no part, and an empty table gives none. A column that is called `name`
+    already is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    kept = docs.select(*(also if also is not None else docs.columns), F.col(text).cast("string").alias("_scored"))
-    schema = kept.drop("_scored").withColumn(name, F.lit(0.0)).schema
+    own = [c for c in (also if also is not None else docs.columns) if c.lower() != name.lower()]
+    hidden, = free_names(docs, "scored")
+    kept = docs.select(*own, F.col(text).cast("string").alias(hidden))
+    schema = kept.drop(hidden).withColumn(name, F.lit(0.0)).schema
 
     def scored(batches):
         forget_all()
