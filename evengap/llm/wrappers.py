@@ -51,18 +51,28 @@ def align(wrapper: list[list], items: list[str]) -> tuple[list[list], list[int]]
 
 def infer(shapes: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) from distinct (host, shape): parts of a host by salt first, then those parts."""
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        wrapper: list[list] = []
-        for one in sorted(rows["wrapper"]):
-            other = json.loads(one)
-            wrapper, place = align(wrapper, [w[0] for w in other])
-            for w, i in zip(other, place):
-                wrapper[i] = [w[0], wrapper[i][1] or w[1]]
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)]})
-
-    schema = "host string, wrapper string"
+    def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+        # shapes stream past in order; a task holds the wrapper of one group and a batch of shapes, however many there are
+        def fold(batches):
+            now, wrapper = None, []
+            for batch in batches:
+                for *key, one in zip(*(batch[c] for c in [*keys, "wrapper"])):
+                    if key != now:
+                        if now is not None:
+                            yield pd.DataFrame({"host": [now[0]], "wrapper": [json.dumps(wrapper)]})
+                        now, wrapper = key, []
+                    other = json.loads(one)
+                    wrapper, place = align(wrapper, [w[0] for w in other])
+                    for w, i in zip(other, place):
+                        wrapper[i] = [w[0], wrapper[i][1] or w[1]]
+            if now is not None:
+                yield pd.DataFrame({"host": [now[0]], "wrapper": [json.dumps(wrapper)]})
+
+        return (rows.select(*keys, "wrapper").repartition(*keys).sortWithinPartitions(*keys, "wrapper")
+                .mapInPandas(fold, "host string, wrapper string"))
+
     first = shapes.select("host", F.col("shape").alias("wrapper"), F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("salt"))
-    return first.groupBy("host", "salt").applyInPandas(fold, schema).groupBy("host").applyInPandas(fold, schema)
+    return folded(folded(first, ["host", "salt"]), ["host"])
 
 
 def streams(pages: DataFrame, url: str, html: str) -> DataFrame:
