@@ -7,6 +7,8 @@ exact products are computed for the survivors only. Query blocks meet candidate
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -98,7 +100,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, id: str = "vec_id", vector: str = "embedding", k: int = 10,
-           slots: int = 8) -> DataFrame:
+           tasks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products, ties to the smaller id.
 
     Queries are rows of the same form; a query's own id is no candidate of it. Null ids and vectors that are null or
@@ -106,14 +108,23 @@ def search(vectors: DataFrame, queries: DataFrame, *, id: str = "vec_id", vector
     id are candidates each by itself, and queries that share an id are searched once, by the smallest vector. Other
     columns are ignored; an empty table gives no rows. Scores have to fit into a long.
 
-    slots: tasks that candidates are dealt to; every query block goes to each of them, and only k rows a query leave it.
+    tasks: cells of a grid of query groups and candidate slots; by default they grow with the candidates. The grid is as
+    wide as makes the copies of queries (one a slot) and of candidates (one a group) together the fewest. Only k rows a
+    query leave a cell.
     """
     if k < 1:
         raise ValueError("k must be positive")
+    n_queries, n_vectors = queries.count(), vectors.count()
+    tasks = tasks or max(8, math.ceil(n_vectors / (16 * BLOCK)))
+    groups = min(tasks, max(1, round(math.sqrt(tasks * n_queries / max(1, n_vectors)))))
+    slots = math.ceil(tasks / groups)
     mine = usable(queries, id, vector).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v")
     asked = (blocks(mine, QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
+                                          F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"),
                                           F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")))
-    held = blocks(usable(vectors, id, vector), BLOCK).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+    held = (blocks(usable(vectors, id, vector), BLOCK)
+            .withColumns({"slot": F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"),
+                          "group": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))}))
 
     def met(batches):
         best: dict[tuple[int, bytes], Best] = {}
@@ -134,7 +145,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id: str = "vec_id", vector
         for b in best.values():
             yield b.rows()
 
-    pairs = asked.join(held, ["dim", "slot"]).select("dim", "q_ids", "q_data", "ids", "data")
+    pairs = asked.join(held, ["dim", "group", "slot"]).select("dim", "q_ids", "q_data", "ids", "data")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (pairs.mapInArrow(met, "query_id long, vec_id long, score long").withColumn("rank", rank)
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
