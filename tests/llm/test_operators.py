@@ -110,11 +110,26 @@ def test_near_copies(spark, docs):
     want = sorted((-1 if r.doc_id is None else r.doc_id, f, c) for r, f, c in zip(rows, fps, brute_components([r.doc_id for r in rows], fps)))
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_copies(table).collect())
     assert got == want
-    kept = {r.doc_id for r in simhash.keep_first(table).collect()}
-    assert kept == {c for n, _, c in want if n == c}
+    roots = brute_components(range(len(fps)), fps)
+    kept = [-1 if r.doc_id is None else r.doc_id for r in simhash.keep_first(table).collect()]
+    firsts = [min((r.doc_id for r, x in zip(rows, roots) if x == root and r.doc_id is not None), default=-1) for root in set(roots)]
+    assert sorted(kept) == sorted(firsts)
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_a_component_stays(spark):
+    text, other, third = "alpha beta gamma delta", "quite another text it is", "and a third one of its own"
+    docs = spark.createDataFrame([
+        (1, text, "a", 0), (1, text, "b", 0), (2, text, "c", 0), (2, other, "d", 0), (None, third, "e", 0), (None, third, "f", 0),
+        (None, other, "g", 0)], "doc_id long, text string, _name string, n int")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    rows = sorted((r.text, r.doc_id, r._name) for r in got.collect())
+    assert [(t, i) for t, i, _ in rows] == [(text, 1), (third, None), (other, 2)]
+    assert rows[0][2] in "ab" and rows[1][2] in "ef" and rows[2][2] == "d"
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
 def test_masks_cover_and_groups_split():
     masks = simhash.covering_masks(3)
     rng = np.random.default_rng(1)
@@ -188,6 +203,8 @@ def test_toxicity(spark):
     assert np.mean([(got[i] >= 0.7) == (i % 4 == 0) for i in held]) > 0.95
     assert got[1000] > 0.7 > got[1001] == got[None]
     assert toxicity.score(docs.limit(0), fitted).count() == 0
+    clash = toxicity.score(docs.selectExpr("doc_id", "'x' AS score", "1 AS _scored", "text"), fitted)
+    assert clash.columns == ["doc_id", "_scored", "text", "score"] and {r.doc_id: r.score for r in clash.collect()} == got
     none = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()
     assert len({r.score for r in none}) == 1
 
@@ -259,7 +276,8 @@ def test_topk(spark):
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(base)]
     rows += [(900, None, 0), (901, [1.0, None], 0), (902, [float("nan")] * 20, 0), (903, [float("inf")] * 20, 0), (904, [1.0] * 3, 0), (None, [1.0] * 20, 0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    got = topk.search(vectors, vectors.where("vec_id % 10 = 0"), k=7, slots=3).collect()
+    got = topk.search(vectors, vectors.where("vec_id % 10 = 0"), k=7, tasks=3).collect()
+    grid = topk.search(vectors, vectors.where("vec_id % 10 = 0"), k=7, tasks=90).collect()
     whole = np.floor(1024 * base).astype(int)
     want = []
     for q in range(0, 300, 10):
@@ -267,4 +285,5 @@ def test_topk(spark):
         best = sorted((i for i in range(300) if i != q), key=lambda i: (-score[i], i))[:7]
         want += [(q, n + 1, i, int(score[i])) for n, i in enumerate(best)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert sorted(map(tuple, grid)) == sorted(map(tuple, got))
     assert topk.search(vectors.limit(0), vectors, k=3).count() == 0
