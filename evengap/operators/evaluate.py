@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from evengap.functions import ratio, safe_div
 from evengap.operators.select import is_peak
-from evengap.operators.skew import GROUP_ROWS, along, running, same_keys
+from evengap.operators.skew import GROUP_ROWS, LOOK, along, large_groups, running, same_keys
 from evengap.roles import DEFAULT, HORIZONS, Roles
 
 By = Sequence[str]
@@ -32,8 +32,9 @@ def score_cuts(scored: DataFrame, by: By = ("k",), weight: str | None = None, sc
         F.sum(w * F.col("y")).alias("pos"), F.sum(w * (1 - F.col("y"))).alias("neg"))
     order = [F.col("score").desc_nulls_last()]
     totals = {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")}
-    cuts = along(counts, list(by), order, whole=totals, limit=limit)
-    cuts = running(cuts, list(by), order, {"tp": F.col("pos"), "fp": F.col("neg")}, limit)
+    hot = large_groups(counts, list(by), limit) if by else LOOK
+    cuts = along(counts, list(by), order, whole=totals, limit=limit, hot=hot)
+    cuts = running(cuts, list(by), order, {"tp": F.col("pos"), "fp": F.col("neg")}, limit, hot)
     return cuts.withColumns({"precision": safe_div("tp", F.col("tp") + F.col("fp")),
                              "recall": safe_div("tp", "n_pos")})
 

@@ -4,8 +4,7 @@ A plain ``Window`` sends each group to one task. That is right for trips and
 stop-days, but nothing promises that one key never holds a large part of the
 table. Before a window is built the helpers here look for groups above
 ``GROUP_ROWS`` rows (an aggregation with map-side combine over the key columns
-only; skipped when the input files are too small to hold such a group). Only
-the rows of those groups take the second route: they are range-partitioned by
+only, whatever the size of the input). Only the rows of those groups take the second route: they are range-partitioned by
 (keys, order), so that a large group spans many tasks, numbered through
 per-partition counts, and cut into blocks of consecutive rows. Each block gets
 copies of as many neighbour rows as the frame can reach, and the windows then
@@ -24,19 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 1_000_000
-CHECK_BYTES = 256 << 20
 BROADCAST_ROWS = 100_000
 
 Columns = Callable[[WindowSpec], dict[str, Column]]
 LOOK = object()  # "find the large groups yourself"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the relations a DataFrame reads, from Spark's own statistics."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that every executor can read: under ``spark.checkpoint.dir``, which a cluster has to name.
 
@@ -72,14 +64,11 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
 
 def large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Keys of the groups above ``limit`` rows, or None when there are none."""
-    if input_bytes(df) < CHECK_BYTES and limit >= GROUP_ROWS:
-        return None
     found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
-    found = durable(found)
-    n = found.count()  # at most rows / limit
-    if n == 0:
+    if found.isEmpty():
         return None
-    return F.broadcast(found) if n <= BROADCAST_ROWS else found
+    found = durable(found)
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found  # at most rows / limit
 
 
 def _split(df: DataFrame, keys: list[str], limit: int, hot):
