@@ -417,22 +417,26 @@ def hash_order(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
 
 
-def with_hash_rank(df: DataFrame, key: Sequence[str], seed: int, name: str = "rank") -> DataFrame:
+def with_hash_rank(df: DataFrame, key: Sequence[str], seed: int, name: str = "rank",
+                   first: int | None = None) -> DataFrame:
     """Number the rows 1..N in pseudo-random order.
 
     Hash prefixes are uniform, so 65,536 prefix buckets hold about equal numbers
-    of rows. Only the bucket counts are summed up in one place.
+    of rows. Only the bucket counts are summed up in one place. ``first`` keeps
+    the rows numbered up to it: other buckets are left out before rows move.
     """
     rows = df.withColumn("__h", hash_order(key, seed)).withColumn("__b", F.substring("__h", 1, 4))
     counts = rows.groupBy("__b").agg(F.count("*").alias("__n"))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     local = F.row_number().over(W.partitionBy("__b").orderBy("__h", *key))
-    return (rows.withColumn("__local", local).join(offsets, "__b")
-            .withColumn(name, F.col("__before") + F.col("__local")).select(*df.columns, name))
+    needed = offsets if first is None else offsets.filter(F.col("__before") < first)
+    numbered = (rows.join(F.broadcast(needed), "__b")  # 65,536 rows at most
+                .withColumn("__local", local).withColumn(name, F.col("__before") + F.col("__local")).select(*df.columns, name))
+    return numbered if first is None else numbered.filter(F.col(name) <= first)
 
 
 def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows without replacement, the same on every run; all rows when there are fewer."""
-    return with_hash_rank(df, key, seed, "__rank").filter(F.col("__rank") <= n).drop("__rank")
+    return with_hash_rank(df, key, seed, "__rank", n).drop("__rank")
 
