@@ -10,7 +10,7 @@ from evengap import HORIZONS
 from evengap.operators import chains, evaluate, resample
 from evengap.sources import results_wide
 
-REPLICATES = 40
+REPLICATES = 1000
 
 
 # --- cuts and operating points ---------------------------------------------------------------------------------------

@@ -574,7 +574,7 @@ def _(t):
        """SELECT date, trip_id, stop_sequence, coalesce((hr_0 - hr_mean) / hr_std, 0) AS hr_0,
           coalesce((hr_5 - hr_mean) / hr_std, 0) AS hr_5, coalesce((dw_2 - dw_mean) / dw_std, 0) AS dw_2,
           coalesce((dg_5 - dg_mean) / dg_std, 0) AS dg_5, CAST(hr_0 IS NOT NULL AS INT) AS observed_0,
-          CAST(hr_5 IS NOT NULL AS INT) AS observed_5 FROM seq, moments""", **SEQ_STATS)
+          CAST(hr_5 IS NOT NULL AS INT) AS observed_5 FROM seq CROSS JOIN (SELECT * FROM moments)""", **SEQ_STATS)
 def _(t):
     return standardize_sequence(t.sequences)
 

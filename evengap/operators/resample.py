@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,9 @@ SLICE_SCORES = 20_000
 CELLS_AT_ONCE = 4_000_000
 
 
+@lru_cache(maxsize=4)
 def draw_weights(n_days: int, replicates: int, seed: int = 0) -> np.ndarray:
-    """(replicates, n_days) array: how often each day was drawn in ``n_days`` draws."""
+    """(replicates, n_days) array: how often each day was drawn in ``n_days`` draws. Kept for the next slice."""
     prefix = f"{seed}-" if seed else ""
     out = np.zeros((replicates, n_days), dtype=np.int64)
     for r in range(replicates):

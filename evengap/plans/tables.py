@@ -124,12 +124,13 @@ def sequence_statistics(seq: DataFrame, fit_split: str = "train", steps: int = f
 def standardize_sequence(seq: DataFrame, fit_split: str = "train", steps: int = features.SEQUENCE_STEPS,
                          stats: DataFrame | None = None) -> DataFrame:
     """Standardised signals (missing -> 0) and a fourth channel: 1 where the ratio was observed."""
-    row = (stats if stats is not None else sequence_statistics(seq, fit_split, steps)).first()  # six numbers
+    one = (stats if stats is not None else sequence_statistics(seq, fit_split, steps)).withColumn("__one", F.lit(1))
     new = {}
     for i in range(steps):
         new[f"observed_{i}"] = F.col(f"hr_{i}").isNotNull().cast("double")
         for s in features.SEQUENCE_SIGNALS:
-            mean, std = row[f"{s}_mean"], row[f"{s}_std"]
-            value = safe_div(F.col(f"{s}_{i}") - F.lit(mean), F.lit(std))
+            value = safe_div(F.col(f"{s}_{i}") - F.col(f"{s}_mean"), F.col(f"{s}_std"))
             new[f"{s}_{i}"] = F.coalesce(value, F.lit(0.0))
-    return seq.withColumns(new)
+    # the statistics are one row
+    joined = seq.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").withColumns(new)
+    return joined.select(*seq.columns, *[c for c in new if c not in seq.columns])
