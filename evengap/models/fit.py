@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evengap.models.prepare import class_weights, feature_names, fit_preprocess
-from evengap.operators.describe import sample_n, with_hash_rank
+from evengap.operators.describe import with_hash_rank
 from evengap.operators.enrich import union_all
 from evengap.operators.evaluate import average_precision
 from evengap.operators.select import BOOLEAN, CATEGORICAL, EXTRA_GROUPS
+from evengap.operators.skew import durable
 
 # Default parameters of the boosted trees.
 GBT_DEFAULTS = {"learning_rate": 0.1, "max_leaf_nodes": 31, "min_samples_leaf": 20, "max_depth": None, "max_iter": 200}
@@ -125,14 +126,14 @@ def coefficient_table(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str],
-                           n: int = 60_000, repeats: int = 5, seed: int = 0) -> DataFrame:
-    """Mean and deviation of the PR-AUC lost when one feature is shuffled among ``n`` sampled rows.
+                           n: int | None = None, repeats: int = 5, seed: int = 0) -> DataFrame:
+    """Mean and deviation of the PR-AUC lost when one feature is shuffled among all rows, or ``n`` sampled ones.
 
-    A shuffle pairs row number i with the row that comes i-th in another hash
+    The numbered rows are written once. A shuffle pairs row number i with the row that comes i-th in another hash
     order; the pairing is an equi-join on the number. Features and repeats are
     scored in one pass and told apart by grouping.
     """
-    sample = with_hash_rank(sample_n(df, key, n, seed), key, seed, "__i")
+    sample = durable(with_hash_rank(df, key, seed, "__i", n))
     frames = []
     for r in range(repeats):
         donors = (with_hash_rank(sample.drop("__i"), key, seed + 1 + r, "__i")
