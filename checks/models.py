@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from checks.base import KEY, check, scratch
 from checks.metrics import TWO_MODELS, _two_models
+from evengap import HORIZONS
 from evengap.models import fit, prepare, search
 from evengap.operators import describe, evaluate
-from evengap.operators.enrich import join_features
+from evengap.operators.enrich import join_features, union_all
 from evengap.operators.select import ABS_FEATURES, NUMERIC, feature_set, training_frame, with_abs_features
 from evengap.operators.skew import durable
 
@@ -130,7 +131,7 @@ def _(t):
 def _(t):
     columns = feature_set("no_month+all") + ["month_of_year"]
     train, val, _ = _frames(t, 5, columns, join_features(t.ds, t.extra))
-    return search.screen_features(train, val, 5, {**SMALL, "max_iter": 2}, ["current", "no_month+long_lags", "no_month+all"])
+    return search.screen_features(train, val, 5, {**SMALL, "max_iter": 2})
 
 
 @check("m10_pick_feature_set", "k:i name:s gain:f",
@@ -156,11 +157,11 @@ def _(t):
 
 @check("m12_fit_horizons", "k:i n:i pr_auc:f brier:f f1:f")
 def _(t):
-    """Fit, save, load and score two horizons."""
+    """Fit, save, load and score every horizon."""
     ds, path = durable(t.ds), scratch(t.spark)
-    search.fit_horizons(ds, (1, 5), {**SMALL, "max_iter": 3}, path=path)
-    one, five = (_summary(fit.score(search.load_horizon(path, k), training_frame(ds, k, "test"), []), k) for k in (1, 5))
-    return one.unionByName(five)
+    search.fit_horizons(ds, HORIZONS, {**SMALL, "max_iter": 3}, path=path)
+    return union_all(*[_summary(fit.score(search.load_horizon(path, k), training_frame(ds, k, "test"), []), k)
+                       for k in HORIZONS])
 
 
 @check("m12_best_model", "model:s k:i value:f",
@@ -185,4 +186,4 @@ def _(t):
     train, val, test = _frames(t)
     model = fit.fit_gbt(train, NUMERIC, SMALL, val)
     rows = test.withColumn("seq", F.col("meta_stop_sequence"))
-    return fit.permutation_importance(model, rows, NUMERIC, [*ROW, "seq"], n=5_000, repeats=2).withColumn("k", F.lit(K))
+    return fit.permutation_importance(model, rows, NUMERIC, [*ROW, "seq"]).withColumn("k", F.lit(K))

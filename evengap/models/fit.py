@@ -91,7 +91,8 @@ def boost(data: DataFrame, params: dict, early_stop: bool, seed: int = 0):
 
 def fit_gbt(train: DataFrame, columns: Sequence[str], params: dict | None = None, val: DataFrame | None = None,
             seed: int = 0) -> PipelineModel:
-    """Weighted gradient boosted trees; with ``val`` rows boosting stops when their loss stops falling."""
+    """Weighted gradient boosted trees; with ``val`` rows boosting stops when their loss stops falling. An empty ``val`` is none."""
+    val = None if val is None or val.isEmpty() else val
     prepare, data = boosting_frame(train, columns, val)
     return PipelineModel(stages=[*prepare.stages, boost(data, params or {}, val is not None, seed)])
 
