@@ -107,14 +107,9 @@ class Tables:
     def ds(self) -> DataFrame:
         return enrich_events(self.trips, self.stops, self.transfers, self.alerts, self.weather, self.counts)
 
-    @cached_property
-    def flagged(self) -> DataFrame:
-        """Trip features with the interchange flag only."""
-        return enrich.flag_interchange(self.trips, self.transfers)
-
     @cached_property
     def extra(self) -> DataFrame:
-        return extra_features(self.hw, self.flagged)
+        return extra_features(self.hw, self.transfers)
 
     @cached_property
     def sequences(self) -> DataFrame:

@@ -161,23 +161,34 @@ def _(t):
     return resample.bootstrap_ci(t.test, REPLICATES)
 
 
-@check("e12_bootstrap_ci_by_line", "k:i LineNumber:s ci_low:f ci_high:f n_replicates:i",
-       f"""SELECT k, LineNumber, quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 0.975) AS ci_high,
-           count(auc) AS n_replicates FROM (
-           SELECT k, LineNumber, r, sum(pos * precision) / nullif(max(n_pos), 0) AS auc
-           FROM ({cuts_sql('redrawn_line', 'k, LineNumber, r', 'score', 'w')}) GROUP BY k, LineNumber, r)
-           GROUP BY k, LineNumber""",
-       dayno_line="""SELECT k, LineNumber, date, row_number() OVER (PARTITION BY k, LineNumber ORDER BY date) - 1 AS d,
+LINE_BOOT = {
+    "dayno_line": """SELECT k, LineNumber, date, row_number() OVER (PARTITION BY k, LineNumber ORDER BY date) - 1 AS d,
            count(*) OVER (PARTITION BY k, LineNumber) AS nd FROM (SELECT DISTINCT k, LineNumber, date FROM test)""",
-       drawn_line=f"""SELECT k, LineNumber, r, CAST('0x' || substr(md5(r || '-' || i), 1, 8) AS BIGINT) % nd AS d,
+    "drawn_line": f"""SELECT k, LineNumber, r, CAST('0x' || substr(md5(r || '-' || i), 1, 8) AS BIGINT) % nd AS d,
            count(*) AS w FROM (SELECT DISTINCT k, LineNumber, nd FROM dayno_line), range(0, {REPLICATES}) AS a(r),
            range(0, 1000) AS b(i) WHERE i < nd GROUP BY ALL""",
-       redrawn_line="""SELECT test.*, r, w FROM test JOIN dayno_line USING (k, LineNumber, date)
-           JOIN drawn_line USING (k, LineNumber, d)""")
+    "redrawn_line": """SELECT test.*, r, w FROM test JOIN dayno_line USING (k, LineNumber, date)
+           JOIN drawn_line USING (k, LineNumber, d)""",
+}
+LINE_INTERVALS = f"""SELECT k, LineNumber, quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 0.975) AS ci_high,
+           count(auc) AS n_replicates FROM (
+           SELECT k, LineNumber, r, sum(pos * precision) / nullif(max(n_pos), 0) AS auc
+           FROM ({cuts_sql('redrawn_line', 'k, LineNumber, r', 'score', 'w')}) GROUP BY k, LineNumber, r)
+           GROUP BY k, LineNumber"""
+
+
+@check("e12_bootstrap_ci_by_line", "k:i LineNumber:s ci_low:f ci_high:f n_replicates:i", LINE_INTERVALS, **LINE_BOOT)
 def _(t):
     return resample.bootstrap_ci(t.test, REPLICATES, by=("k", "LineNumber"))
 
 
+@check("e10_by_line_interval", "k:i LineNumber:s pr_auc:f n:i base_rate_pct:f ci_low:f ci_high:f",
+       f"SELECT * EXCLUDE (n_replicates) FROM ({_group_sql('test', 'LineNumber', 20)}) JOIN ({LINE_INTERVALS}) USING (k, LineNumber)",
+       **LINE_BOOT)
+def _(t):
+    return evaluate.by_group(t.test, "LineNumber", replicates=REPLICATES)
+
+
 @check("e13_paired_bootstrap", "k:i auc_low:f auc_high:f auc_share_positive:f recall_low:f recall_high:f "
                                "recall_share_positive:f",
        f"""SELECT k, quantile_cont(d_auc, 0.025) AS auc_low, quantile_cont(d_auc, 0.975) AS auc_high,

@@ -150,7 +150,7 @@ def _(t):
     return search.ablate(train, val, test, K, {**SMALL, "max_iter": 3})
 
 
-@check("m11_transfer", "model:s k:i pr_auc:f")
+@check("m11_transfer", "model:s k:i pr_auc:f ci_low:f ci_high:f loss_pct:f")
 def _(t):
     return search.transfer(*_frames(t), ["4", "541"], K, {**SMALL, "max_iter": 3})
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evengap.functions import ratio, safe_div
+from evengap.operators.resample import bootstrap_ci
 from evengap.operators.select import is_peak
 from evengap.operators.skew import GROUP_ROWS, LOOK, along, large_groups, running, same_keys
 from evengap.roles import DEFAULT, HORIZONS, Roles
@@ -140,24 +141,42 @@ def reliability(scored: DataFrame, bins: int = 10, by: By = ("k",)) -> DataFrame
         F.avg("score").alias("mean_score"), F.avg("y").alias("observed_rate"), F.count(F.lit(1)).alias("n"))
 
 
-def by_group(scored: DataFrame, col: str, min_pos: int = 20, by: By = ("k",), limit: int = GROUP_ROWS) -> DataFrame:
-    """PR-AUC per value of a column; groups with fewer than ``min_pos`` positives are left out."""
+def by_group(scored: DataFrame, col: str, min_pos: int = 20, by: By = ("k",), limit: int = GROUP_ROWS,
+             replicates: int | None = None, seed: int = 0, roles: Roles = DEFAULT) -> DataFrame:
+    """PR-AUC per value of a column; groups with fewer than ``min_pos`` positives are left out.
+
+    With ``replicates`` each group gets the 95 % interval of as many bootstrap draws of its own days.
+    """
     keys = [*by, col]
-    return (score_cuts(scored, keys, limit=limit).groupBy(*keys)
-            .agg(_ap().alias("pr_auc"), F.sum("pos").alias("n_pos"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
-            .filter(F.col("n_pos") >= min_pos)
-            .withColumn("base_rate_pct", ratio("n_pos", "n", 100.0)).drop("n_pos"))
+    groups = (score_cuts(scored, keys, limit=limit).groupBy(*keys)
+              .agg(_ap().alias("pr_auc"), F.sum("pos").alias("n_pos"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
+              .filter(F.col("n_pos") >= min_pos)
+              .withColumn("base_rate_pct", ratio("n_pos", "n", 100.0)).drop("n_pos"))
+    if replicates is None:
+        return groups
+    kept = same_keys(scored, groups.select(*keys), keys, "left_semi")
+    interval = bootstrap_ci(kept, replicates, seed, keys, roles, limit=limit).drop("n_replicates")
+    return same_keys(groups, interval, keys, "left")
 
 
 def summary(scored: DataFrame, by: By = ("k",), threshold: float = 0.5, level: float = 0.80,
             limit: int = GROUP_ROWS) -> DataFrame:
-    """One row per group: size, base rate, PR-AUC, recall at a precision, Brier score, F1 and confusion counts."""
-    ranked = score_cuts(scored, by, limit=limit).groupBy(*by).agg(
-        _ap().alias("pr_auc"), F.max(F.when(F.col("precision") >= level, F.col("recall"))).alias("recall_at_precision"))
-    size = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (100.0 * F.avg("y")).alias("base_rate_pct"))
-    out = same_keys(size, ranked, list(by), "left")
-    out = same_keys(out, brier(scored, by), list(by), "left")
-    return same_keys(out, confusion(scored, threshold, by), list(by), "left")
+    """One row per group: size, base rate, PR-AUC, recall at a precision, Brier score, F1 and confusion counts.
+
+    All of it is read off the counts per distinct score, so the scored rows are evaluated once.
+    """
+    s, rows = F.col("score"), F.col("pos") + F.col("neg")
+    count = lambda c, flag: F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0)).cast("long")
+    squares = F.col("pos") * (s - 1) * (s - 1) + F.col("neg") * s * s
+    found = score_cuts(scored, by, limit=limit).groupBy(*by).agg(
+        F.sum(rows).cast("long").alias("n"), F.sum("pos").alias("__pos"), _ap().alias("pr_auc"),
+        F.max(F.when(F.col("precision") >= level, F.col("recall"))).alias("recall_at_precision"),
+        safe_div(F.sum(squares), F.sum(F.when(s.isNotNull(), rows))).alias("brier"),
+        count("neg", s < threshold).alias("tn"), count("neg", s >= threshold).alias("fp"),
+        count("pos", s < threshold).alias("fn"), count("pos", s >= threshold).alias("tp"))
+    return found.select(*by, "n", ratio("__pos", "n", 100.0).alias("base_rate_pct"), "pr_auc", "recall_at_precision",
+                        "brier", "tn", "fp", "fn", "tp",
+                        safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
 def persistence(ds: DataFrame, ks: Sequence[int] = HORIZONS, split: str | None = "test") -> DataFrame:

@@ -6,9 +6,10 @@ replicate and draw number, so any task can form them and two scores get the same
 ones.
 
 Scored rows are added up per (score, day) once. The distinct scores are numbered
-in descending order and cut into slices of at most ``SLICE_SCORES`` scores; a
-slice is one task-sized unit in which numpy forms the weighted running sums of
-all replicates. What lies above a slice enters as one offset per replicate.
+in descending order and cut into slices of at most ``SLICE_CELLS`` (score, day)
+cells besides the days of one score; a slice is one task-sized unit in which
+numpy forms the weighted running sums of all replicates. What lies above a slice
+enters as one offset per replicate.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from evengap.operators.skew import GROUP_ROWS, durable, running, same_keys
 from evengap.roles import DEFAULT, Roles
 
-SLICE_SCORES = 20_000
+SLICE_CELLS = 100_000
 CELLS_AT_ONCE = 4_000_000
 
 
@@ -48,7 +49,7 @@ def unit_weights(n_days: int, replicates: int, seed: int = 0) -> np.ndarray:
 
 
 def _slices(scored: DataFrame, by: list[str], days_by: list[str], score: str, roles: Roles, limit: int,
-            slice_scores: int) -> DataFrame:
+            slice_cells: int) -> DataFrame:
     """One row per (group, distinct score, day) with day number and slice number."""
     days = scored.select(*days_by, roles.day).distinct()
     w = W.partitionBy(*days_by)  # one row per day
@@ -60,8 +61,9 @@ def _slices(scored: DataFrame, by: list[str], days_by: list[str], score: str, ro
     # At most one entry per day in each list.
     packed = counts.groupBy(*by, "score").agg(
         F.collect_list(F.struct("__d", "__pos", "__neg")).alias("__cells"), F.max("__n_days").alias("__n_days"))
-    packed = running(packed, by, [F.col("score").desc_nulls_last()], {"__at": F.lit(1)}, limit)
-    return (packed.withColumn("__slice", F.floor((F.col("__at") - 1) / slice_scores).cast("long"))
+    packed = running(packed, by, [F.col("score").desc_nulls_last()],
+                     {"__at": F.lit(1), "__through": F.size("__cells")}, limit)
+    return (packed.withColumn("__slice", F.floor((F.col("__through") - F.size("__cells")) / slice_cells).cast("long"))
             .select(*by, "__slice", "__at", "__n_days", F.explode("__cells").alias("c"))
             .select(*by, "__slice", "__at", "__n_days", "c.*"))
 
@@ -81,7 +83,7 @@ def _weighted(pdf: pd.DataFrame, weights) -> Iterator[tuple[slice, np.ndarray, n
 
 def bootstrap_metrics(scored: DataFrame, replicates: int = 1000, seed: int = 0, by: Sequence[str] = ("k",),
                       days_by: Sequence[str] | None = None, level: float = 0.80, score: str = "score",
-                      roles: Roles = DEFAULT, limit: int = GROUP_ROWS, slice_scores: int = SLICE_SCORES,
+                      roles: Roles = DEFAULT, limit: int = GROUP_ROWS, slice_cells: int = SLICE_CELLS,
                       weigh=draw_weights) -> DataFrame:
     """PR-AUC and recall at a precision for every group and replicate.
 
@@ -89,7 +91,7 @@ def bootstrap_metrics(scored: DataFrame, replicates: int = 1000, seed: int = 0,
     """
     by = list(by)
     cells = durable(_slices(scored, by, list(days_by if days_by is not None else by), score, roles, limit,
-                            slice_scores))
+                            slice_cells))
     keys = cells.select(*by).schema.fields
     head = [*keys, T.StructField("__slice", T.LongType()), T.StructField("replicate", T.IntegerType())]
     key_names = [*by, "__slice"]

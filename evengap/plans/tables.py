@@ -91,9 +91,10 @@ def model_dataset(hw: DataFrame, stops: DataFrame, transfers: DataFrame, alerts:
                          zone, roles, alert_span)
 
 
-def extra_features(hw: DataFrame, ds: DataFrame, roles: Roles = DEFAULT, limit: int = GROUP_ROWS) -> DataFrame:
+def extra_features(hw: DataFrame, transfers: DataFrame, roles: Roles = DEFAULT,
+                   limit: int = GROUP_ROWS) -> DataFrame:
     """Long-horizon candidates, one row per event, keyed like the model table."""
-    df = enrich.join_features(hw, ds.select(*roles.key, "is_interchange"), "left", roles)
+    df = enrich.flag_interchange(hw, transfers, roles)  # a flag of the stop
     df = enrich.with_leader_state(df, roles, limit)
     df = features.with_long_features(df, roles=roles, limit=limit)
     return df.select(

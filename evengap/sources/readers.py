@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,39 +24,60 @@ EVENT_TYPES = {
 }
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
+def _names(line: str, sep: str) -> tuple[str, ...]:
+    return tuple(n.strip().strip('"') for n in line.lstrip("\ufeff").split(sep))
+
+
+def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
     """Column names of one file: the first line, read without scanning the rest."""
     first = spark.read.text(path).limit(1).collect()
-    names = first[0][0].lstrip("﻿").split(sep) if first else []
-    return [n.strip().strip('"') for n in names]
+    return _names(first[0][0], sep) if first else ()
 
 
-def _paths(spark: SparkSession, glob: str) -> list[str]:
-    return sorted(spark.read.format("binaryFile").load(glob).select("path").distinct()
-                  .toPandas()["path"].tolist())
+def _files_by_header(spark: SparkSession, glob: str | list[str], sep: str,
+                     known: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, found by one job over all files, however many there are.
+
+    A header is a line with a column's name as a field. Paths reach the driver, which lists them for any scan anyhow.
+    """
+    fields = F.split(F.ltrim("value", F.lit("\ufeff")), f"\\Q{sep}\\E")
+    named = F.arrays_overlap(F.transform(fields, lambda c: F.trim(c, F.lit(' "'))), F.array(*[F.lit(n) for n in known]))
+    lines = spark.read.text(glob).where(named)
+    found: dict[tuple[str, ...], list[str]] = {}
+    seen = set()
+    for path, line in sorted(lines.select("_metadata.file_path", "value").collect()):
+        if path in seen:
+            raise ValueError(f"{path} has more than one header line")
+        seen.add(path)
+        found.setdefault(_names(line, sep), []).append(unquote(path))
+    return found
 
 
 def read_events(spark: SparkSession, glob: str | list[str], types: dict[str, str] | None = None, sep: str = ",",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, columns: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
     """Read CSV files (plain or gzip) whose columns may differ in order and number; union by name.
 
     A schema on a CSV reader binds by position, so every file is read with the
-    columns of its own header as text and cast by name. Files with equal headers
-    share one scan. A gzip file is one task whatever its size; ``partitions``
-    spreads the rows afterwards.
+    columns of its own header as text and cast by name. One job finds the headers,
+    and files with equal headers share one scan. ``columns`` names the columns of
+    all files in their order and saves that job; then and otherwise the scan
+    checks every file's header and fails where it differs. A value that does not
+    fit its type becomes null, or ends the read if ``strict``. A gzip file is one
+    task whatever its size; ``partitions`` spreads the rows afterwards.
     """
     types = types or EVENT_TYPES
-    paths = _paths(spark, glob) if isinstance(glob, str) else list(glob)
-    if not paths:
-        raise FileNotFoundError(str(glob))
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(_header(spark, path, sep)), []).append(path)
+    if columns is not None:
+        files = {tuple(columns): glob}
+    else:
+        files = _files_by_header(spark, glob, sep, list(types)) if glob else {}
+    if not files:
+        raise FileNotFoundError(f"no file with a header: {glob}")
+    cast = "cast" if strict else "try_cast"
     frames = []
-    for names, group in by_header.items():
+    for names, group in files.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.csv(group, schema=schema, header=True, sep=sep, enforceSchema=True)
-        frames.append(raw.select(*[F.expr(f"try_cast(`{n}` AS {types[n]})").alias(n) if n in types else F.col(n)
+        raw = spark.read.csv(group, schema=schema, header=True, sep=sep, enforceSchema=False)
+        frames.append(raw.select(*[F.expr(f"{cast}(`{n}` AS {types[n]})").alias(n) if n in types else F.col(n)
                                    for n in names]))
     df = union_all(*frames)
     return df.repartition(partitions) if partitions else df

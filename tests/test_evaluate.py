@@ -98,7 +98,7 @@ def test_unit_weights_give_the_plain_metric(spark, sample):
     df = scored(spark, sample)
     want, cuts = brute([r[1] for r in sample], [r[2] for r in sample])
     for size in (7, 20_000):
-        got = resample.bootstrap_metrics(df, 3, level=0.5, slice_scores=size, weigh=resample.unit_weights).collect()
+        got = resample.bootstrap_metrics(df, 3, level=0.5, slice_cells=size, weigh=resample.unit_weights).collect()
         assert len(got) == 3
         for r in got:
             assert r["pr_auc"] == pytest.approx(want, abs=1e-12)
@@ -110,7 +110,7 @@ def test_replicates_equal_reweighted_rows(spark, sample):
     weights = resample.draw_weights(len(days), 4, seed=5)
     assert (weights.sum(axis=1) == len(days)).all()
     got = {r["replicate"]: r["pr_auc"] for r in
-           resample.bootstrap_metrics(scored(spark, sample), 4, seed=5, slice_scores=10).collect()}
+           resample.bootstrap_metrics(scored(spark, sample), 4, seed=5, slice_cells=10).collect()}
     for i in range(4):
         w = [weights[i][days.index(r[0])] for r in sample]
         assert got[i] == pytest.approx(brute([r[1] for r in sample], [r[2] for r in sample], w)[0], abs=1e-12)

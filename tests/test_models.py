@@ -101,6 +101,40 @@ def test_boosting_keeps_rounds_of_small_gain(rows):
     assert model.stages[-1].getNumTrees > 10
 
 
+def test_refits_are_saved_and_taken_up_again(rows, tmp_path, monkeypatch):
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    configs = search.draw_configs({"learning_rate": [0.1, 0.3]}, 2, 1, {"max_iter": 2, "max_leaf_nodes": 4})
+    ledger, path = f"{tmp_path}/ledger", f"{tmp_path}/models"
+    trials = search.run_trials(train, val, configs, COLUMNS, 3, ledger)
+    first, model = search.refit_top(trials, train, val, COLUMNS, 3, 2, ledger, path)
+    want = sorted(map(tuple, first.collect()))
+    monkeypatch.setattr(search, "fit_gbt", None)  # nothing is left to fit
+    again, loaded = search.refit_top(trials, train, val, COLUMNS, 3, 2, ledger, path)
+    assert sorted(map(tuple, again.collect())) == want and len(want) == 2
+    assert fit.pr_auc(loaded, val) == pytest.approx(fit.pr_auc(model, val))
+    with pytest.raises(ValueError):
+        search.refit_top(trials, train, val, COLUMNS, 3, 2, ledger)
+
+
+def test_logistic_search_records_what_components_explain(rows, tmp_path):
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    for columns in (COLUMNS, COLUMNS[:2]):
+        got = search.search_logreg(train, val, columns, 3, (1.0,), (1, 2), (1.0,), 10, f"{tmp_path}/ledger")
+    explained = got.filter("metric = 'explained_variance'").collect()
+    assert got.count() == 10 and len(explained) == 4 and all(0 < r["value"] <= 1 + 1e-9 for r in explained)
+
+
+def test_transfer_compares_with_the_model_of_all_lines(rows):
+    rows = rows.withColumn("date", F.col("id") % 20)
+    train, val, test = (rows.filter(f"id % 4 = {i}") for i in (0, 1, 2))
+    got = {r["model"]: r for r in search.transfer(train, val, test, ["0"], 3, {"max_iter": 3, "max_leaf_nodes": 4},
+                                                  COLUMNS, replicates=50).collect()}
+    assert set(got) == {"own_lines", "heldout_lines", "full_on_heldout"}
+    assert all(r["ci_low"] <= r["ci_high"] for r in got.values())
+    limited, full = got["heldout_lines"], got["full_on_heldout"]["pr_auc"]
+    assert limited["loss_pct"] == pytest.approx(100 * (full - limited["pr_auc"]) / full)
+
+
 def test_feature_set_needs_a_gain(spark):
     screen = spark.createDataFrame([(5, "current", 0.70), (5, "no_month", 0.704), (8, "current", 0.60),
                                     (8, "no_month+all", 0.616)], "k int, name string, value double")

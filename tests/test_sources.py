@@ -26,6 +26,34 @@ def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
         read_events(spark, [])
 
 
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    def jobs(n: int) -> int:
+        folder = tmp_path / f"n {n}"
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"f{i}.csv").write_text(f"trip_id,date\n{i},2024\n" if i % 2 else f"date,trip_id\n2024,{i}\n")
+        spark.sparkContext.setJobGroup(f"read {n}", "")
+        df = read_events(spark, f"{folder}/*.csv")
+        spark.sparkContext.setJobGroup("other", "")
+        assert sorted(r["trip_id"] for r in df.collect()) == list(range(n)) and {r["date"] for r in df.collect()} == {2024}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"read {n}"))
+
+    assert jobs(100) == jobs(200) < 6  # headers, and one job to list the files of each of three scans
+
+
+def test_given_columns_are_checked_by_the_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("trip_id,date\n1,2024\nx,2024\n")
+    df = read_events(spark, f"{tmp_path}/*.csv", columns=["trip_id", "date"])
+    assert {r["trip_id"] for r in df.collect()} == {1, None}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_events(spark, f"{tmp_path}/*.csv", columns=["trip_id", "date"], strict=True).collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        read_events(spark, f"{tmp_path}/*.csv", columns=["date", "trip_id"]).collect()
+    (tmp_path / "b.csv").write_text("trip_id,date\n1,2024\ntrip_id,date\n")
+    with pytest.raises(ValueError, match="more than one header"):
+        read_events(spark, f"{tmp_path}/b.csv")
+
+
 def test_static_table_with_semicolons(spark, tmp_path):
     (tmp_path / "stops.csv").write_text("stop_id;stop_name;stop_lat;parent_station\n1;A, B;59.3;\n2;C;;7\n")
     typed = read_static(spark, str(tmp_path / "stops.csv"), ";", "stop_id long, stop_lat double, parent_station long")
