@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evengap.llm import likeness
 from evengap.llm.common import free_names, stored
 from evengap.llm.graph import components
 from evengap.llm.wordids import forget_all
@@ -166,21 +167,28 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", widt
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = 3, like: float | None = None) -> DataFrame:
     """One row of each component: that of the smallest id, and of several such rows the one of the smallest text hash.
 
+    like: link texts whose five-word shingles have at least this Jaccard likeness, instead of fingerprints within the radius.
     Rows without an id are compared too, but stay only where their component has no id at all. Of rows that are alike in
     id and text any one stays. All columns are kept; an empty table gives no rows.
     """
     name, own = free_names(docs, "name", "own")
     marked = docs.withColumns({name: F.coalesce(F.col(id).cast("string"), F.lit("")),
                                own: F.xxhash64(F.col(text), F.col(id).isNull())})
-    fps = stored(fingerprints(marked, id=id, text=text, also=(name, own)), "fingerprints")
+    if like is None:
+        fps = stored(fingerprints(marked, id=id, text=text, also=(name, own)), "fingerprints")
+        roots = rooted(fps, radius).select("fp", "root")
+    else:
+        whole = marked.select(F.col(id).alias("doc_id"), name, own, F.col(text).alias("text"))
+        fps = stored(likeness.sets(whole, "text", ["doc_id", name, own]), "sets")
+        roots = components(likeness.links(fps, like)).withColumnRenamed("node", "fp")
     # equal rows, then equal fingerprints, are summed before the components meet them
     rows = fps.groupBy("fp", "doc_id", name, own).agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", own, name, "n")).alias("x")
     firsts = rows.groupBy("fp").agg(least).select("fp", "x.*")
-    keep = stored(firsts.join(rooted(fps, radius).select("fp", "root"), "fp").groupBy("root").agg(least)
+    keep = stored(firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).groupBy("root").agg(least)
                   .select(f"x.{name}", f"x.{own}", "x.n"), "firsts")
     once = marked.join(keep.where("n = 1"), [name, own], "left_semi")
     repeated = marked.join(keep.where("n > 1"), [name, own], "left_semi").dropDuplicates([name, own])

@@ -1,5 +1,7 @@
 """The pipeline's stages one after the other, and every query with SQL against DuckDB, at the smallest scale."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -41,3 +43,31 @@ def test_sql(spark, name):
     order = [answer.columns.index(c) for c in columns]
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(
         repr(tuple(r[i] for i in order)) for r in answer.fetchall())
+
+
+def test_no_texts_of_jaccard_above_the_threshold_stay(spark):
+    def grams(text):
+        words = text.encode().lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(4, 300))]
+        rows.append((len(rows), " ".join(words), "en", "x", 0))
+        for changes in (1, 2, 3, 6):
+            copy = list(words)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy), "en", "x", 0))
+    rows += [(900, "", "en", "x", 0), (901, None, "en", "x", 0), (902, rows[0][1], "en", "x", 0)]
+    sets = [grams(r[1] or "") for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = sorted(min(r[0] for r, x in zip(rows, root) if x == own) for own in set(root))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert len(want) < len(rows) and sorted(r.doc_id for r in got.collect()) == want
