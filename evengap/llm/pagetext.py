@@ -169,11 +169,32 @@ def shape(stream: list[str]) -> tuple[list[str], list[int]]:
     return out, place
 
 
-def article(page: str, fixed: set[str]) -> str:
-    """The text of the blocks in the innermost article zone the page has, but for template blocks."""
-    found, _ = blocks(page)
-    found = [b for b in found if b[2] == 2 or b[0] not in fixed]  # what an article element holds is its own
-    zone = max((b[2] for b in found), default=0)
-    if zone:
-        return " ".join(b[1] for b in found if b[2] == zone)
-    return " ".join(b[1] for b in found if not b[3])
+def places(spots: list[int]) -> list[int]:
+    """Where each block stands: its item in the folded stream, and how often that item came before."""
+    seen: dict[int, int] = {}
+    out = []
+    for spot in spots:
+        n = seen[spot] = seen.get(spot, -1) + 1
+        out.append(spot << 32 | n)
+    return out
+
+
+def chosen(texts: list[str], zones: list[int], linked: list[bool], where: list[int], fixed: set[int]) -> str:
+    """The text of the blocks that are not of the template; where a page has articles, of those in the innermost zone."""
+    left = [(t, z, link) for t, z, link, w in zip(texts, zones, linked, where) if w not in fixed]
+    zone = max((z for _, z, _ in left), default=0)
+    return " ".join(t for t, z, link in left if (z == zone if zone else not link))
+
+
+def parts(page: str) -> tuple[list[str], list[str], list[int], list[int], list[bool]]:
+    """The folded stream of a page, and of its blocks the texts, places, zones and whether all is links."""
+    found, stream = blocks(page)
+    folded, place = shape(stream)
+    where = places([p for s, p in zip(stream, place) if not s.endswith("!")])
+    return folded, [b[1] for b in found], where, [b[2] for b in found], [b[3] for b in found]
+
+
+def article(page: str, fixed: set[int]) -> str:
+    """The article text of one page; `fixed` are the places of template blocks."""
+    _, texts, where, zones, linked = parts(page)
+    return chosen(texts, zones, linked, where, fixed)

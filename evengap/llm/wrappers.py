@@ -3,7 +3,8 @@
 Pages of one host follow a template. Each page is a stream of blocks named by their place in the markup, with
 neighbouring repeats folded. The distinct streams of a host are aligned one after the other into a wrapper, a
 union-free regular expression: a mismatch makes an item optional, a folded repeat makes it a group, and text that
-differs between pages makes it a slot. Blocks whose text is the same on all pages belong to the template.
+differs between pages makes it a slot. Blocks whose text is the same on all pages belong to the template, each by its
+slot and its turn within a repeat, also inside an article. What the wrapper leaves is chosen from by its markup.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evengap.llm import pagetext
 from evengap.llm.common import stored
@@ -75,29 +77,37 @@ def infer(shapes: DataFrame) -> DataFrame:
     return folded(folded(first, ["host", "salt"]), ["host"])
 
 
-def streams(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, shape, at, hashes, page): each page's folded stream as a wrapper of its own, and the texts on it by place."""
-    def parsed(batches):
+def parsed(pages: DataFrame, url: str, html: str, also: dict[str, str] | None = None) -> DataFrame:
+    """(columns of `also`, host, shape, at, texts, zones, linked): each page's folded stream as a wrapper of its own, its blocks and their places."""
+    also = also or {}
+    kept = pages.select(*[F.col(c).alias(n) for n, c in also.items()], host(url).alias("host"), F.col(html).cast("string").alias("html"))
+    schema = T.StructType(kept.drop("html").schema.fields + T.StructType.fromDDL(
+        "shape string, at array<long>, texts array<string>, zones array<int>, linked array<boolean>").fields)
+    types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+
+    def run(batches):
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                found, stream = pagetext.blocks(text or "")
-                shape, place = pagetext.shape(stream)
-                spots = [p for s, p in zip(stream, place) if not s.endswith("!")]
-                rows.append((json.dumps([[s, False] for s in shape]), spots, [b[1] for b in found]))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([r[0] for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
-                names=["host", "shape", "at", "texts"])
-
-    out = pages.select(host(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(
-        parsed, "host string, shape string, at array<int>, texts array<string>")
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                shape, texts, where, zones, linked = pagetext.parts(text or "")
+                rows.append((json.dumps([[s, False] for s in shape]), where, texts, zones, linked))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))],
+                                             names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def streams(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, shape, at, hashes, page): the streams, and the hashed texts by place."""
     hashes = F.transform("texts", lambda t: F.xxhash64(t))
-    return out.select("host", "shape", "at", hashes.alias("hashes"), F.xxhash64("texts").alias("page"))
+    return parsed(pages, url, html).select("host", "shape", "at", hashes.alias("hashes"), F.xxhash64("texts").alias("page"))
 
 
 def template(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, fixed): the paths whose text is the same wherever they stand, on hosts with several different pages."""
+    """(host, shape as a hash, fixed): the places whose text is the same on all pages, on hosts with several different pages.
+
+    A place is an item of the shape and its turn among the item's repeats, so that the lines of a menu are told apart.
+    """
     seen = stored(streams(pages, url, html), "streams")
     shapes = stored(seen.groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")
     wrappers = infer(shapes)
@@ -109,22 +119,24 @@ def template(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataF
                 wrapper = json.loads(w)
                 items = [x[0] for x in json.loads(s)]
                 _, place = align(wrapper, items)
-                out.append((h, s, place, items))
-            yield pd.DataFrame(out, columns=["host", "shape", "slots", "paths"])
+                out.append((h, s, place))
+            yield pd.DataFrame(out, columns=["host", "shape", "slots"])
 
-    slots = shapes.select("host", "shape").join(wrappers, "host").mapInPandas(
-        placed, "host string, shape string, slots array<int>, paths array<string>")
+    slots = stored(shapes.select("host", "shape").join(wrappers, "host").mapInPandas(
+        placed, "host string, shape string, slots array<int>"), "slots")
     # one row for each distinct page before its blocks are spread
     distinct = seen.groupBy("host", "shape", "page").agg(F.first("at").alias("at"), F.first("hashes").alias("hashes"))
+    item, turn = F.shiftright("x.at", 32).cast("int"), F.col("x.at").bitwiseAND(F.lit(0xFFFFFFFF))
     spots = (distinct.join(slots, ["host", "shape"])
-             .select("host", "page", "slots", "paths", F.explode(F.arrays_zip("at", "hashes")).alias("x"))
-             .select("host", "page", F.get("slots", F.col("x.at")).alias("slot"), F.get("paths", F.col("x.at")).alias("path"),
-                     F.col("x.hashes").alias("h")))
-    by_slot = spots.groupBy("host", "path", "slot").agg(F.min("h").alias("a"), F.max("h").alias("b"),
+             .select("host", "page", "slots", F.explode(F.arrays_zip("at", "hashes")).alias("x"))
+             .select("host", "page", F.get("slots", item).alias("slot"), turn.alias("turn"), F.col("x.hashes").alias("h")))
+    by_slot = spots.groupBy("host", "slot", "turn").agg(F.min("h").alias("a"), F.max("h").alias("b"),
                                                         F.approx_count_distinct("page").alias("n"))
-    by_path = by_slot.groupBy("host", "path").agg(F.every(F.col("a") == F.col("b")).alias("fixed"), F.max("n").alias("n"))
-    return (by_path.where(F.col("fixed") & (F.col("n") >= PAGES)).groupBy("host")
-            .agg(F.sort_array(F.collect_set("path")).alias("fixed")))
+    fixed = stored(by_slot.where((F.col("a") == F.col("b")) & (F.col("n") >= PAGES)).select("host", "slot", "turn"), "fixed")
+    # back from slots of the host's wrapper to the items of each shape
+    items = slots.select("host", F.xxhash64("shape").alias("shape"), F.posexplode("slots").alias("item", "slot"))
+    return (items.join(small_enough(fixed, fixed.count()), ["host", "slot"])
+            .groupBy("host", "shape").agg(F.collect_set(F.shiftleft(F.col("item").cast("long"), 32).bitwiseOR(F.col("turn"))).alias("fixed")))
 
 
 def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -135,14 +147,14 @@ def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
     empty table gives no rows. Markup that never closes ends with the page.
     """
     fixed = stored(template(pages, url=url, html=html), "templates")
-    out = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host(url).alias("host"), F.col(html).cast("string").alias("html"))
-    out = out.join(small_enough(fixed, fixed.count()), "host", "left").drop("host")
+    out = parsed(pages, url, html, {"page_id": id, "url": url}).withColumn("shape", F.xxhash64("shape"))
+    size = fixed.agg(F.sum(F.size("fixed"))).first()[0] or 0
+    out = out.join(small_enough(fixed, size), ["host", "shape"], "left").select("page_id", "url", "texts", "zones", "linked", "at", "fixed")
     kinds = pages.schema[id].dataType.simpleString(), pages.schema[url].dataType.simpleString()
 
     def texts(batches):
         for batch in batches:
-            found = [pagetext.article(t or "", set(f or ())) for t, f in
-                     zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = [pagetext.chosen(*row, set(f or ())) for *row, f in zip(*(batch.column(i).to_pylist() for i in range(2, 7)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())],
                                              names=["page_id", "url", "text"])
 

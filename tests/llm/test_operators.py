@@ -235,6 +235,16 @@ def test_page_text(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_wrapper_drops_repeated_menus_also_in_articles(spark):
+    bare = "<body><ul><li>Home</li><li>News</li><li>About us</li></ul><h1>Title {0}</h1>{1}<div><p>Terms</p><p>Imprint</p></div></body>"
+    inside = "<body><article><h1>Title {0}</h1>{1}<ul><li>Print this</li><li>Send this</li></ul></article></body>"
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", page.format(i, "".join(f"<p>Line {i} {j}</p>" for j in range(i + 1))), 5)
+            for k, page in enumerate((bare, inside)) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert got == {10 * k + i: " ".join([f"Title {i}", *(f"Line {i} {j}" for j in range(i + 1))]) for k in range(2) for i in range(5)}
+
+
 def test_wrappers_align():
     wrapper, place = wrappers.align([["a", False], ["b", False], ["d", False]], ["a", "c", "d"])
     assert [w[0] for w in wrapper] == ["a", "b", "c", "d"] and [w[1] for w in wrapper] == [False, True, True, False]
