@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules: known sentences get identifiers, and ordered rules match their sequence.
 
 Everything is one projection of a row in Spark's own functions; texts without any word that a known sentence has are
-passed by.
+passed by. A line break inside a sentence is a space; lines that end without a full stop are read by themselves as well.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word of each known sentence.
-HINT = r"(?i)licen[sc]e|rights reserved|permission|redistribut|warrant|public domain|copyright|provided as is|provided \W?as is"
+#: Single words, one of which every known sentence has, however it is wrapped.
+HINT = r"(?i)licen[sc]|released|distributed|available|published|provided|domain|reserved|permission|redistribut|endorse"
+#: What the SQL passes texts and sentences by.
+SQL_HINT = r"(?i)licen[sc]e|rights reserved|permission|redistribut|warrant|public domain|copyright|provided as is|provided \W?as is"
 #: Identifiers of sentences, and what the normalised sentence looks like.
 THIS = r"(?:(?:this|the) (?:work|software|file|project|code|program|library|material|document|text|content|article|page) is )?"
 UNDER = THIS + r"(?:licensed|released|distributed|available|published|provided)(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
@@ -56,8 +58,12 @@ ENDS, NOISE = r"([.;:!?])\s+", "[^a-z0-9.]+"
 
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order, each between single spaces."""
-    sentences = F.split(F.regexp_replace(text, ENDS, "$1\n"), "\n")
-    plain = F.transform(sentences, lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), NOISE, " ")), r"[. ]+$", ""))
+    mark = "\x01"
+    ended = F.regexp_replace(F.regexp_replace(F.translate(text, mark, " "), ENDS, "$1" + mark), r"\n[ \t\r]*\n", mark)
+    some = F.filter(F.split(ended, mark), lambda s: s.rlike(HINT))
+
+    def plain(s: Column) -> Column:
+        return F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), NOISE, " ")), r"[. ]+$", "")
 
     def known(s: Column) -> Column:
         chosen = F.when(s.rlike("^" + SENTENCES[0][1]), SENTENCES[0][0])
@@ -65,8 +71,12 @@ def identifiers(text: Column) -> Column:
             chosen = chosen.when(s.rlike("^" + pattern), name)
         return chosen.when(s.rlike(UNKNOWN), "unknown").otherwise("")
 
-    some = F.filter(plain, lambda s: s.rlike(HINT))
-    return F.concat(F.lit(" "), F.array_join(F.transform(F.filter(F.transform(some, known), lambda x: x != ""), lambda x: F.concat(x, F.lit(" "))), " "))
+    # lines that are known by themselves stand; else the sentence is read across its line breaks
+    read = F.transform(some, lambda s: F.struct(F.transform(F.split(s, "\n"), lambda x: known(plain(x))).alias("lines"),
+                                                known(plain(s)).alias("whole")))
+    chosen = F.flatten(F.transform(read, lambda r: F.when(
+        F.exists(r["lines"], lambda x: ~x.isin("", "unknown")) | (r["whole"] == ""), r["lines"]).otherwise(F.array(r["whole"]))))
+    return F.concat(F.lit(" "), F.array_join(F.transform(F.filter(chosen, lambda x: x != ""), lambda x: F.concat(x, F.lit(" "))), " "))
 
 
 def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,11 +111,11 @@ def _sql() -> str:
                      f"AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names "
                      f"FROM {f'r{i - 1}' if i else 'b'})")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN regexp_matches(text, '{HINT}') THEN text ELSE '' END AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN regexp_matches(text, '{SQL_HINT}') THEN text ELSE '' END AS text FROM documents),
 p AS (SELECT r, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM (SELECT r, list_transform(
     string_split(regexp_replace(text, '{ENDS}', '\\1' || chr(10), 'g'), chr(10)),
     lambda s: regexp_replace(trim(regexp_replace(lower(s), '{NOISE}', ' ', 'g')), '[. ]+$', '')) AS x FROM d WHERE text <> '')),
-k AS (SELECT r, i, {chosen} AS id FROM p WHERE regexp_matches(s, '{HINT}')),
+k AS (SELECT r, i, {chosen} AS id FROM p WHERE regexp_matches(s, '{SQL_HINT}')),
 g AS (SELECT r, string_agg(id, ' ' ORDER BY i) AS sentences FROM k WHERE id <> '' GROUP BY r),
 b AS (SELECT doc_id, coalesce(sentences, '') AS sentences, ' ' || replace(coalesce(sentences, ''), ' ', '  ') || ' ' AS seq, []::VARCHAR[] AS names
       FROM d LEFT JOIN g USING (r)),

@@ -262,6 +262,33 @@ def test_licences(spark):
                    None: ("mit-ref reserved", "MIT all-rights-reserved"), 5: ("unknown", "unknown")}
 
 
+def test_licences_without_the_word_and_across_lines(spark):
+    cases = {
+        "Distributed under the GNU GPL v3.": "gpl3-ref", "Released under CC BY 4.0.": "cc-by-ref", "Available under CC0 1.0.": "cc0-ref",
+        "This work is published under Creative Commons Attribution 4.0.": "cc-by-ref", "Released under the GNU GPL v2.": "gpl2-ref",
+        "Provided under the GNU LGPL v2.1.": "lgpl-ref", "Licensed under the GNU AGPL v3.": "agpl3-ref",
+        "Released under the MIT License.": "mit-ref", "Licensed under the Apache License, Version 2.0.": "apache2-ref",
+        "either version 2 of the License, or (at your option) any later version.": "gpl-any",
+        "Licensed under the Mozilla Public License v2.0.": "mpl2-ref", "Licensed under the 3-clause BSD License.": "bsd-ref",
+        "Released under CC BY-NC-SA 4.0.": "cc-by-nc-sa-ref", "Released under CC BY-NC 4.0.": "cc-by-nc-ref",
+        "Released under CC BY-SA 4.0.": "cc-by-sa-ref", "This work is placed in the public domain.": "cc0-ref",
+        "Copyright 2020 A. All rights reserved.": "reserved", "Distributed under terms of its own.": "unknown",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.": "mit-grant",
+        "The above copyright notice and this permission notice shall be included in all copies.": "mit-notice",
+        'The software is provided "as is".': "as-is",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.": "bsd-grant",
+        "Redistributions of source code must retain the above copyright notice.": "bsd-source",
+        "Redistributions in binary form must reproduce the above copyright notice.": "bsd-binary",
+        "Neither the name of X may be used to endorse or promote products.": "bsd-endorse",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "isc-grant"}
+    texts = list(cases) + [t.replace(" ", "\n") for t in cases]
+    texts += ["Some notes\nReleased under the MIT License\nand more", "Notes.\n\nReleased under the\n\nMIT License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.sentences for r in licences.scan(docs).collect()}
+    assert {name for name, _ in licences.SENTENCES} | {"unknown"} == set(cases.values())
+    assert [got[i] for i in range(len(texts))] == [*cases.values(), *cases.values(), "mit-ref", "unknown"]
+
+
 def test_chat(spark):
     log = spark.createDataFrame([
         ("c", 1, 1, "message", "user", "hi <|end|> \\ [INST]"), ("c", 2, 2, "delta", "assistant", "He"), ("c", 2, 3, "delta", None, "llo"),
