@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -28,6 +29,11 @@ def _names(line: str, sep: str) -> tuple[str, ...]:
     return tuple(n.strip().strip('"') for n in line.lstrip("\ufeff").split(sep))
 
 
+def _plain(path: str) -> str:
+    """A path whose empty authority is left out: file:/a and file:///a are one file."""
+    return re.sub(r"^([A-Za-z0-9+.-]+):///", r"\1:/", path)
+
+
 def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
     """Column names of one file: the first line, read without scanning the rest."""
     first = spark.read.text(path).limit(1).collect()
@@ -38,7 +44,8 @@ def _files_by_header(spark: SparkSession, glob: str | list[str], sep: str,
                      known: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """The files of each header, found by one job over all files, however many there are.
 
-    A header is a line with a column's name as a field. Paths reach the driver, which lists them for any scan anyhow.
+    A header is a line with a column's name as a field. Files that have no such line are read by their first line,
+    found by one more job over them. Paths reach the driver, which lists them for any scan anyhow.
     """
     fields = F.split(F.ltrim("value", F.lit("\ufeff")), f"\\Q{sep}\\E")
     named = F.arrays_overlap(F.transform(fields, lambda c: F.trim(c, F.lit(' "'))), F.array(*[F.lit(n) for n in known]))
@@ -50,6 +57,15 @@ def _files_by_header(spark: SparkSession, glob: str | list[str], sep: str,
             raise ValueError(f"{path} has more than one header line")
         seen.add(path)
         found.setdefault(_names(line, sep), []).append(unquote(path))
+    listed = {unquote(p) for p in spark.read.text(glob).inputFiles()}
+    known_files = {_plain(unquote(p)) for p in seen}
+    bare = sorted(p for p in listed if _plain(p) not in known_files)
+    if bare:
+        order = F.monotonically_increasing_id()  # rises along a file; its first line is in the block that starts it
+        firsts = (spark.read.text(bare).select("_metadata.file_path", "_metadata.file_block_start", "value", order.alias("i"))
+                  .where("file_block_start = 0 and trim(value) <> ''").groupBy("file_path").agg(F.min_by("value", "i").alias("value")))
+        for path, line in sorted(firsts.collect()):
+            found.setdefault(_names(line, sep), []).append(unquote(path))
     return found
 
 

@@ -26,6 +26,14 @@ def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
         read_events(spark, [])
 
 
+def test_files_without_a_typed_column_keep_their_rows(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("LineNumber,trip_id\n4,1\n")
+    (tmp_path / "c d.csv").write_text("trip_id,stop\n2,x\n3,y\n")
+    (tmp_path / "empty.csv").write_text("")
+    df = read_events(spark, f"{tmp_path}/*.csv", types={"LineNumber": "string"})
+    assert {(r["LineNumber"], r["trip_id"], r["stop"]) for r in df.collect()} == {("4", "1", None), (None, "2", "x"), (None, "3", "y")}
+
+
 def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
     def jobs(n: int) -> int:
         folder = tmp_path / f"n {n}"
