@@ -23,6 +23,8 @@ SIZE = 64
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: Log costs of the channel.
 IMITATE, DROP_SIGN, DROP_REPEAT, SIGN_IS_LETTER = -1.5, -1.5, -1.0, -8.0
+#: Longest word that is read as one, and the windows of longer input.
+OVERLAP, WINDOW = 48, 2048
 
 
 def _table() -> np.ndarray:
@@ -90,6 +92,46 @@ def restore(word: str, model: np.ndarray, drop: float = DROP_SIGN) -> str:
     return max((score + model[a, b, 0], out) for (a, b), (score, out) in paths.items())[1]
 
 
+def segments(word: str, model: np.ndarray, anywhere: bool = False) -> set[str]:
+    """Words on the likeliest path that may also end at signs or, if `anywhere`, behind any letter.
+
+    Long input is read in windows that overlap by more than a word, so time and memory grow with its length only.
+    """
+    found: set[str] = set()
+    for at in range(0, max(1, len(word) - OVERLAP), WINDOW - OVERLAP):
+        paths: dict = {(0, 0): (0.0, None)}
+        before = ""
+        for c in word[at:at + WINDOW]:
+            step: dict = {}
+
+            def reach(state: tuple, score: float, out) -> None:
+                if step.get(state, (-math.inf,))[0] < score:
+                    step[state] = (score, out)
+
+            outs = [(c, 0.0)] if c in CODE else []
+            outs += [(x, IMITATE) for x in IMITATED.get(c, "")]
+            skip = DROP_REPEAT if c == before else DROP_SIGN if c not in CODE else None
+            for (a, b), (score, out) in paths.items():
+                if skip is not None:
+                    reach((a, b), score + skip, out)
+                if c not in CODE:  # the sign ends a word, or follows an end
+                    reach((b, 0) if b else (a, b), score + model[a, b, 0] if b else score, (out, " ") if b else out)
+                for x, cost in outs:
+                    reach((b, CODE[x]), score + cost + model[a, b, CODE[x]], (out, x))
+            if anywhere:
+                for (a, b), (score, out) in list(step.items()):
+                    if b:
+                        reach((b, 0), score + model[a, b, 0], (out, " "))
+            paths, before = step or paths, c
+        _, out = max(((score + (model[a, b, 0] if b else 0.0), out) for (a, b), (score, out) in paths.items()), key=lambda x: x[0])
+        letters = []
+        while out is not None:
+            out, x = out
+            letters.append(x)
+        found.update("".join(reversed(letters)).split())
+    return found
+
+
 class Restorer:
     """Restored words of texts; what a token stands for is kept for the next text."""
 
@@ -100,12 +142,17 @@ class Restorer:
         """Readings of one token: the letters it has, and what it may disguise."""
         low = token.lower()
         core = low.strip(".,;:!?%*#&\"'()[]{}|-_/\\<>=~^`")
-        if core.isalpha() and not any(a == b == c for a, b, c in zip(core, core[1:], core[2:])):
+        if core.isalpha() and not any(a == b for a, b in zip(core, core[1:])):
             return (core,)
-        if len(low) > 48:  # no word is that long: its runs of letters are read one by one
-            return tuple("".join(c if c.isalpha() else " " for c in low).split())
+        if len(low) > OVERLAP:  # no word is that long: its runs of letters, and the words its signs hide or part
+            runs = "".join(c if c.isalpha() else " " for c in low).split()
+            return tuple(dict.fromkeys([*runs, *sorted(segments(low, self.model))]))
+        if core.isalpha() and not any(a == b == c for a, b, c in zip(core, core[1:], core[2:])):
+            return tuple(dict.fromkeys(x for x in (core, restore(core, self.model)) if x))
         plain = "".join(c for c in core if c.isalpha())
-        found = (plain, restore(core, self.model), restore(low, self.model), restore(core, self.model, SIGN_IS_LETTER))
+        found = [plain, restore(core, self.model), restore(low, self.model), restore(core, self.model, SIGN_IS_LETTER)]
+        if any(c not in CODE and c not in IMITATED for c in core):
+            found += sorted(segments(core, self.model))
         return tuple(dict.fromkeys(x for x in found if x))
 
     def words(self, text: str) -> set[str]:
@@ -125,5 +172,12 @@ class Restorer:
         single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
         edge = np.diff(np.concatenate([[0], single, [0]]).astype(np.int8))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        return {restore("".join(tokens[a + skip:b]).lower(), self.model)
-                for a, b in zip(begin, end) if 3 <= b - a <= 48 for skip in (0, 1)} - {""}  # "a w o r d" too
+        out: set[str] = set()
+        for a, b in zip(begin, end):
+            if b - a < 3:
+                continue
+            run = "".join(tokens[a:b]).lower()
+            out |= segments(run, self.model, anywhere=True)
+            if b - a <= OVERLAP:
+                out |= {restore(run[skip:], self.model) for skip in (0, 1)}  # "a w o r d" too
+        return out - {""}

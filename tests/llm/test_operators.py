@@ -218,6 +218,16 @@ def test_restoration():
     assert "idiot" in restorer.words("an i d i o t") and restorer.words("") == set()
 
 
+def test_restoration_of_long_tokens_and_runs():
+    counts = trigrams(["you are an idiot and a stupid loser went to the clown", "so you idiot are a moron"] * 50)
+    restorer = Restorer(language_model([(int(c), int(counts[c])) for c in np.flatnonzero(counts)]))
+    assert "idiot" in restorer.words(" ".join("youidiot")) and "idiot" in restorer.words(" ".join("wenttotheclown" * 30 + "youidiot"))
+    assert "idiot" in restorer.word("i" * 50 + "diot") and "idiot" in restorer.word("i" * 5000 + "diot")
+    assert {"idiot", "moron"} <= set(restorer.word("/".join(["1d10t", "m0r0n"] * 10)))
+    assert {"idiot", "moron"} <= set(restorer.word("/".join(["1d10t", "m0r0n"])))
+    assert {"idiiot", "idiot"} <= set(restorer.word("idiiot")) and "loser" in restorer.word("looser")
+
+
 PAGE = """<html><head><title>T</title><script>var a = "</p>";</script></head><body><header>Site</header><div class="menu"><a href=1>One</a></div>
 <div class="post"><h1>Title &amp; more</h1><div class="cookie-notice">Cookies</div><p>First <b>bold</b>text&nbsp;x<p>Second<ul><li>a<li>b</ul>
 <form>Mail <input></form><div class=ad>Buy</div></div><div id="comments"><p>Nice</p></div><footer>Foot</footer></body></html>"""
