@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evengap.llm import (chat, contamination, licences, packing, pseudonyms, simhash, tokenfile, topk, toxicity,
-                         wrappers)
+from evengap.llm import (chat, closeness, contamination, licences, manifest, packing, pseudonyms, simhash,
+                         spelling, tokenfile, topk, toxicity, wrappers)
 from evengap.llm.common import new_folder, ship
 
 #: In production a secret; equal keys link pseudonyms across runs.
@@ -107,6 +107,25 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), change=spelling.slip)
+    return spelling.variants(words, shortest=6)
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closeness.links(table(spark, sf_dir, "embeddings"))
+
+
 SQL["op3_licences"] = licences.SQL
 SQL["op4_chat"] = chat.SQL
 SQL["op9_topk"] = topk.SQL
+SQL["op12_manifest"] = manifest.SQL
+SQL["op11_spelling"] = spelling.SQL
+SQL["op13_vector_links"] = closeness.SQL
