@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks.base import check
 from evengap import HORIZONS
-from evengap.operators import describe
+from evengap.operators import describe, enrich
 from evengap.roles import PEAK_HOURS
 
 VALID = "headway_ratio IS NOT NULL"
@@ -189,14 +189,14 @@ def _(t):
           SELECT round(least(dwell, 120) / 2.0::DOUBLE) * 2 AS bucket, is_interchange, count(*) AS n
           FROM ds WHERE dwell >= 0 GROUP BY ALL)""")
 def _(t):
-    return describe.dwell_histogram(t.flagged)
+    return describe.dwell_histogram(enrich.flag_interchange(t.trips, t.transfers))
 
 
 @check("a20_dwell_by_stop_type", "is_interchange:b mean_dwell:f median_dwell:f n:i",
        """SELECT is_interchange, avg(dwell) AS mean_dwell, median(dwell) AS median_dwell, count(*) AS n
           FROM ds WHERE dwell >= 0 GROUP BY is_interchange""")
 def _(t):
-    return describe.dwell_by_stop_type(t.flagged)
+    return describe.dwell_by_stop_type(enrich.flag_interchange(t.trips, t.transfers))
 
 
 FEEDBACK = "headway_ratio BETWEEN -1 AND 3 AND delay_growth IS NOT NULL"

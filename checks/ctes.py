@@ -216,5 +216,5 @@ def with_tables(sql: str, extra: dict[str, str] | None = None) -> str:
     found: dict[str, None] = {}
     for text in [*(extra or {}).values(), sql]:
         _needed(text, found)
-    parts = [f"{n} AS ({CTES[n]})" for n in found] + [f"{n} AS ({q})" for n, q in (extra or {}).items()]
+    parts = [f"{n} AS MATERIALIZED ({q})" for n, q in [*((n, CTES[n]) for n in found), *(extra or {}).items()]]
     return f"WITH {', '.join(parts)} {sql}" if parts else sql
