@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evengap.models.boosting import Binner, BoostedTrees, fit_bins, fit_trees
 from evengap.models.prepare import class_weights, feature_names, fit_preprocess
 from evengap.operators.describe import with_hash_rank
 from evengap.operators.enrich import union_all
@@ -19,8 +20,8 @@ from evengap.operators.evaluate import average_precision
 from evengap.operators.select import BOOLEAN, CATEGORICAL, EXTRA_GROUPS
 from evengap.operators.skew import durable
 
-# Default parameters of the boosted trees.
-GBT_DEFAULTS = {"learning_rate": 0.1, "max_leaf_nodes": 31, "min_samples_leaf": 20, "max_depth": None, "max_iter": 200}
+#: Rounds without a lower held-out loss after which boosting ends.
+PATIENCE = 15
 
 
 def fit_logreg(train: DataFrame, columns: Sequence[str], C: float = 1.0, max_iter: int = 200) -> PipelineModel:
@@ -52,49 +53,33 @@ def fit_pca_logreg(train: DataFrame, columns: Sequence[str], n: int, C: float =
     return PipelineModel(stages=[*prepare.stages, pca, model]), float(sum(pca.explainedVariance))
 
 
-def gbt_parameters(params: dict) -> dict:
-    """Parameters of Spark's boosted trees.
-
-    Trees grow level by level here, so a leaf count is turned into the depth
-    that holds as many leaves; the smaller of it and ``max_depth`` applies.
-    There is no L2 term on leaves.
-    """
-    p = {**GBT_DEFAULTS, **params}
-    depth = math.ceil(math.log2(p["max_leaf_nodes"])) if p.get("max_leaf_nodes") else 30
-    if p.get("max_depth"):
-        depth = min(depth, p["max_depth"])
-    out = {"stepSize": p["learning_rate"], "maxDepth": min(30, depth), "maxIter": p["max_iter"],
-           "minInstancesPerNode": p["min_samples_leaf"]}
-    if p.get("max_features", 1.0) < 1.0:
-        out["featureSubsetStrategy"] = str(p["max_features"])
-    return out
-
-
-def boosting_frame(train: DataFrame, columns: Sequence[str],
-                   val: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
-    """The fitted preparation, and the vectors, labels and weights of training and held-out rows."""
-    prepare = fit_preprocess(train, columns, scale=False)
-    needed = ["features", "y", "w", "held_out"]
-    data = class_weights(prepare.transform(train)).withColumn("held_out", F.lit(False)).select(*needed)
+def boosting_frame(train: DataFrame, columns: Sequence[str], val: DataFrame | None = None) -> tuple[Binner, DataFrame]:
+    """The fitted bins, and the binned rows, labels and weights of training and held-out rows, written once."""
+    spec = fit_bins(train, list(columns), [c for c in columns if c in CATEGORICAL])
+    binner, needed = Binner(spec=json.dumps(spec)), ["bins", "y", "w", "held_out"]
+    data = class_weights(binner.transform(train)).withColumn("held_out", F.lit(False)).select(*needed)
     if val is not None:
-        held = class_weights(prepare.transform(val)).withColumn("held_out", F.lit(True))
+        held = class_weights(binner.transform(val)).withColumn("held_out", F.lit(True))
         data = union_all(data, held.select(*needed))
-    return prepare, data
+    return binner, durable(data)
 
 
-def boost(data: DataFrame, params: dict, early_stop: bool, seed: int = 0):
-    # growing ends when the held-out loss stands still, not when a round gains less than Spark's default of one per cent
-    model = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", seed=seed, maxBins=255, validationTol=1e-5,
-                          **gbt_parameters(params))
-    return (model.setValidationIndicatorCol("held_out") if early_stop else model).fit(data)
+def boost(binner: Binner, data: DataFrame, params: dict, early_stop: bool = True, seed: int = 0) -> BoostedTrees:
+    """Trees on the rows that are not held out; ``patience`` among the parameters is used with ``early_stop`` only."""
+    patience = params.get("patience", PATIENCE) if early_stop else None
+    return fit_trees(data, json.loads(binner.getOrDefault("spec")), params, patience, seed)
 
 
 def fit_gbt(train: DataFrame, columns: Sequence[str], params: dict | None = None, val: DataFrame | None = None,
             seed: int = 0) -> PipelineModel:
-    """Weighted gradient boosted trees; with ``val`` rows boosting stops when their loss stops falling. An empty ``val`` is none."""
+    """Weighted boosted trees, see :mod:`evengap.models.boosting`.
+
+    With ``val`` rows the loss of every round is known; boosting ends ``patience`` rounds (a parameter) after the lowest
+    one, and the model is cut there. An empty ``val`` is none.
+    """
     val = None if val is None or val.isEmpty() else val
-    prepare, data = boosting_frame(train, columns, val)
-    return PipelineModel(stages=[*prepare.stages, boost(data, params or {}, val is not None, seed)])
+    binner, data = boosting_frame(train, columns, val)
+    return PipelineModel(stages=[binner, boost(binner, data, params or {}, val is not None, seed)])
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], name: str = "score") -> DataFrame:

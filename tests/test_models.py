@@ -70,12 +70,6 @@ def test_boosting_and_permutation(rows):
     assert abs(imp["LineNumber"]) < 0.1
 
 
-def test_parameters_of_the_trees():
-    assert fit.gbt_parameters({"max_leaf_nodes": 255, "max_depth": 6})["maxDepth"] == 6
-    assert fit.gbt_parameters({"max_leaf_nodes": 31})["maxDepth"] == 5
-    assert fit.gbt_parameters({"max_features": 0.5})["featureSubsetStrategy"] == "0.5"
-
-
 def test_neighbours_are_one_step_away_and_untried(spark):
     space = {"a": [1, 2, 3], "b": [None, 6]}
     best = {"a": 2, "b": None, "max_iter": 9}
@@ -98,7 +92,7 @@ def test_changed_parameters_are_fitted_again(spark, rows, tmp_path):
 def test_boosting_keeps_rounds_of_small_gain(rows):
     params = {"max_iter": 25, "max_leaf_nodes": 4, "learning_rate": 0.05}
     model = fit.fit_gbt(rows.filter("id % 3 > 0"), COLUMNS, params, rows.filter("id % 3 = 0"))
-    assert model.stages[-1].getNumTrees > 10
+    assert model.stages[-1].numTrees > 10
 
 
 def test_refits_are_saved_and_taken_up_again(rows, tmp_path, monkeypatch):
@@ -150,3 +144,33 @@ def test_search_is_resumed(spark, rows, tmp_path):
     both = search.run_trials(train, val, configs, COLUMNS, 3, path)
     assert both.count() == 2 and both.filter("value > 0.3").count() == 2
     assert search.best_model(both).count() == 1
+
+
+def test_trials_run_side_by_side(spark, rows, tmp_path, monkeypatch):
+    """Four trials wait for each other, so they have to run at once; the ledger is as in sequence."""
+    import threading
+
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    configs = search.draw_configs({"learning_rate": [0.1, 0.2, 0.3, 0.4]}, 4, 1, {"max_iter": 2, "max_leaf_nodes": 4})
+    sequence = search.run_trials(train, val, configs, COLUMNS, 3)
+    meet, boost = threading.Barrier(4, timeout=120), search.boost
+
+    def together(*args):
+        meet.wait()
+        return boost(*args)
+
+    monkeypatch.setattr(search, "boost", together)
+    ledger = search.run_trials(train, val, configs, COLUMNS, 3, f"{tmp_path}/ledger")
+    assert sorted(map(tuple, ledger.collect())) == sorted(map(tuple, sequence.collect())) and ledger.count() == 4
+
+
+def test_a_failed_trial_leaves_the_others_recorded(spark, rows, tmp_path):
+    def run(c):
+        if c["name"] == "bad":
+            raise ValueError("no trial")
+        return {"val_pr_auc": 0.5}
+
+    configs = [{"name": n, "params": {}} for n in ("a", "bad", "b")]
+    with pytest.raises(ValueError, match="no trial"):
+        search._recorded(spark, configs, run, 3, "gbt", f"{tmp_path}/ledger", at_once=1)
+    assert [r["name"] for r in spark.read.parquet(f"{tmp_path}/ledger").collect()] == ["a"]
