@@ -334,3 +334,33 @@ def test_topk(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert sorted(map(tuple, grid)) == sorted(map(tuple, got))
     assert topk.search(vectors.limit(0), vectors, k=3).count() == 0
+
+
+def test_unlike_texts_of_one_passage(spark, monkeypatch):
+    """Texts that share a passage fall into common bands; marks keep all but a few of their pairs from being compared."""
+    from evengap.llm import likeness
+
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"common{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(1500)]
+    near = [t.rsplit(" ", 2)[0] for t in texts[:100]]
+    rows = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    compared, own = [], likeness.verified
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return own(pairs, *args)
+
+    monkeypatch.setattr(likeness, "verified", counted)
+    monkeypatch.setattr(likeness, "PART", 64)
+    kept = simhash.keep_first(rows, like=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(1500))
+    assert sum(compared) <= 300
+
+
+def test_chains_in_a_band(spark):
+    """Each text is alike to the next only, and all are one component; what joins no chain stays."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[15 * i:15 * i + 200]) for i in range(12)] + ["quite another text of more than five words", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i + 100, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(rows, like=0.8).collect()) == [0, 12, 13]
