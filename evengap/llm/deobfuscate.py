@@ -72,24 +72,35 @@ def language_model(counts: list[tuple[int, int]]) -> np.ndarray:
     return np.log(p3)
 
 
+def spelled(out) -> str:
+    """The letters of a path, which is a chain of its last letter and the path before."""
+    letters = []
+    while out is not None:
+        out, x = out
+        letters.append(x)
+    return "".join(reversed(letters))
+
+
 def restore(word: str, model: np.ndarray, drop: float = DROP_SIGN) -> str:
-    """The likeliest plain word behind a lower-case one; `drop` is the cost of leaving out a sign."""
-    paths = {(0, 0): (0.0, "")}
+    """The likeliest plain word behind a lower-case one, of any length; `drop` is the cost of leaving out a sign."""
+    paths: dict = {(0, 0): (0.0, None)}
     before = ""
     for c in word:
         step: dict = {}
-        outs = [(c, 0.0)] if c in CODE else []
-        outs += [(x, IMITATE) for x in IMITATED.get(c, "")]
+        outs = [(c, CODE[c], 0.0)] if c in CODE else []
+        outs += [(x, CODE[x], IMITATE) for x in IMITATED.get(c, "")]
         skip = DROP_REPEAT if c == before else drop if c not in CODE else None
-        for (a, b), (score, out) in paths.items():
-            if skip is not None and step.get((a, b), (-math.inf,))[0] < score + skip:
-                step[a, b] = (score + skip, out)
-            for x, cost in outs:
-                new = score + cost + model[a, b, CODE[x]]
-                if step.get((b, CODE[x]), (-math.inf,))[0] < new:
-                    step[b, CODE[x]] = (new, out + x)
+        for state, (score, out) in paths.items():
+            if skip is not None and (state not in step or step[state][0] < score + skip):
+                step[state] = (score + skip, out)
+            a, b = state
+            row = model[a][b]
+            for x, code, cost in outs:
+                new, to = score + cost + row[code], (b, code)
+                if to not in step or step[to][0] < new:
+                    step[to] = (new, (out, x))
         paths, before = step or paths, c
-    return max((score + model[a, b, 0], out) for (a, b), (score, out) in paths.items())[1]
+    return spelled(max(((score + model[a][b][0], out) for (a, b), (score, out) in paths.items()), key=lambda x: x[0])[1])
 
 
 def segments(word: str, model: np.ndarray, anywhere: bool = False) -> set[str]:
@@ -115,57 +126,44 @@ def segments(word: str, model: np.ndarray, anywhere: bool = False) -> set[str]:
                 if skip is not None:
                     reach((a, b), score + skip, out)
                 if c not in CODE:  # the sign ends a word, or follows an end
-                    reach((b, 0) if b else (a, b), score + model[a, b, 0] if b else score, (out, " ") if b else out)
+                    reach((b, 0) if b else (a, b), score + model[a][b][0] if b else score, (out, " ") if b else out)
                 for x, cost in outs:
-                    reach((b, CODE[x]), score + cost + model[a, b, CODE[x]], (out, x))
+                    reach((b, CODE[x]), score + cost + model[a][b][CODE[x]], (out, x))
             if anywhere:
                 for (a, b), (score, out) in list(step.items()):
                     if b:
-                        reach((b, 0), score + model[a, b, 0], (out, " "))
+                        reach((b, 0), score + model[a][b][0], (out, " "))
             paths, before = step or paths, c
-        _, out = max(((score + (model[a, b, 0] if b else 0.0), out) for (a, b), (score, out) in paths.items()), key=lambda x: x[0])
-        letters = []
-        while out is not None:
-            out, x = out
-            letters.append(x)
-        found.update("".join(reversed(letters)).split())
+        _, out = max(((score + (model[a][b][0] if b else 0.0), out) for (a, b), (score, out) in paths.items()), key=lambda x: x[0])
+        found.update(spelled(out).split())
     return found
 
 
 class Restorer:
-    """Restored words of texts; what a token stands for is kept for the next text."""
+    """Restored words of texts."""
 
-    def __init__(self, model: np.ndarray, most: int = 250_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: np.ndarray):
+        self.model = model.tolist()  # single numbers are read faster from lists
 
     def word(self, token: str) -> tuple[str, ...]:
         """Readings of one token: the letters it has, and what it may disguise."""
         low = token.lower()
         core = low.strip(".,;:!?%*#&\"'()[]{}|-_/\\<>=~^`")
-        if core.isalpha() and not any(a == b for a, b in zip(core, core[1:])):
-            return (core,)
-        if len(low) > OVERLAP:  # no word is that long: its runs of letters, and the words its signs hide or part
-            runs = "".join(c if c.isalpha() else " " for c in low).split()
-            return tuple(dict.fromkeys([*runs, *sorted(segments(low, self.model))]))
-        if core.isalpha() and not any(a == b == c for a, b, c in zip(core, core[1:], core[2:])):
-            return tuple(dict.fromkeys(x for x in (core, restore(core, self.model)) if x))
+        if core.isalpha():
+            if not any(map(str.__eq__, core, core[1:])):
+                return (core,)
+            if not any(a == b == c for a, b, c in zip(core, core[1:], core[2:])):
+                return tuple(dict.fromkeys(x for x in (core, restore(core, self.model)) if x))
         plain = "".join(c for c in core if c.isalpha())
         found = [plain, restore(core, self.model), restore(low, self.model), restore(core, self.model, SIGN_IS_LETTER)]
-        if any(c not in CODE and c not in IMITATED for c in core):
+        if any(c not in CODE for c in core):  # its runs of letters, and the words its signs hide or part
+            found += "".join(c if c.isalpha() else " " for c in core).split()
             found += sorted(segments(core, self.model))
         return tuple(dict.fromkeys(x for x in found if x))
 
     def words(self, text: str) -> set[str]:
         tokens = text.split()
-        out: set[str] = set()
-        if len(self.known) > self.most:
-            self.known.clear()
-        for token in set(tokens):
-            got = self.known.get(token)
-            if got is None:
-                got = self.known[token] = self.word(token)
-            out.update(got)
-        return out | self.spaced(tokens)
+        return {w for t in set(tokens) for w in self.word(t)} | self.spaced(tokens)
 
     def spaced(self, tokens: list[str]) -> set[str]:
         """Words whose letters stand alone, as in "w o r d"."""
@@ -178,6 +176,5 @@ class Restorer:
                 continue
             run = "".join(tokens[a:b]).lower()
             out |= segments(run, self.model, anywhere=True)
-            if b - a <= OVERLAP:
-                out |= {restore(run[skip:], self.model) for skip in (0, 1)}  # "a w o r d" too
+            out |= {restore(run[skip:], self.model) for skip in (0, 1)}  # "a w o r d" too
         return out - {""}

@@ -8,6 +8,9 @@ score.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evengap.llm.common import free_names, stored
 from evengap.llm.deobfuscate import Restorer, count_trigrams, language_model
-from evengap.llm.wordids import forget_all
+from evengap.llm.wordids import KEPT
 
 TOP = 3
 PRIOR = 3.0
@@ -29,26 +32,52 @@ def remainder(id: str) -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string")) % 3, F.lit(0))
 
 
-class Weights:
-    """Log odds of features, and those of the heaviest words of a text."""
+class Heavy:
+    """The heaviest words of texts, by log odds of features. What tokens stand for is kept, in two generations.
 
-    def __init__(self, odds: dict[str, float], most: int = 200_000):
-        self.odds, self.most, self.known = odds, most, {}
+    Most tokens hold no heavy word, so all that is kept of them is that they were met.
+    """
 
-    def word(self, word: str) -> float:
-        return max((self.odds.get(f, 0.0) for f in features(word)), default=0.0)
+    def __init__(self, restorer: Restorer, odds: dict[str, float], most: int = 300_000):
+        self.restorer, self.odds, self.most = restorer, odds, most
+        self.met, self.older = set(), set()
+        self.heavy: dict[str, dict[str, float]] = {}
 
-    def heaviest(self, words: set[str]) -> list[float]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        found = []
+    def weights(self, words) -> dict[str, float]:
+        found = {}
         for w in words:
-            x = self.known.get(w)
-            if x is None:
-                x = self.known[w] = self.word(w)
+            x = max((self.odds.get(f, 0.0) for f in features(w)), default=0.0)
             if x > 0:
-                found.append(x)
-        return (sorted(found, reverse=True) + [0.0] * TOP)[:TOP]
+                found[w] = x
+        return found
+
+    def heaviest(self, text: str) -> list[float]:
+        tokens = text.split()
+        own = set(tokens)
+        new = own - self.met
+        if new:
+            for token in new - self.older:
+                found = self.weights(self.restorer.word(token))
+                if found:
+                    self.heavy[token] = found
+            self.met |= new
+            if len(self.met) > self.most:
+                self.met, self.older = set(), self.met
+        found: dict[str, float] = {}
+        for token in own & self.heavy.keys():
+            found |= self.heavy[token]
+        found |= self.weights(self.restorer.spaced(tokens))
+        if len(self.heavy) > self.most:
+            self.met, self.older, self.heavy = set(), set(), {}
+        return (sorted(found.values(), reverse=True) + [0.0] * TOP)[:TOP]
+
+
+def kept_here(key: str, make):
+    """What `make` gives, kept in this worker for its next tasks; whatever else was kept is freed."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
 
 
 def log_odds(counts: dict[str, tuple[int, int]], base: float) -> dict[str, float]:
@@ -78,7 +107,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, label:
     marked = (labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & (remainder(id) != 1))
               .groupBy(F.col(id).alias("_id")).agg(F.max(label).cast("int").alias("y")))
     share = min(1.0, most / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = marked.where(F.shiftrightunsigned(F.xxhash64("_id", F.lit(1)), 1) <= math.ceil(share * (2**63 - 1024)))
     # the sample is bounded by `most`, so it may be broadcast
     rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
     return rows.select("text", "y", (remainder("_id") == 0).cast("int").alias("half"))
@@ -96,11 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def counted(batches):
-        forget_all()
-        restorer, seen = Restorer(shared.value), {}
+        restorer, known, seen = Restorer(shared.value), {}, {}
         for batch in batches:
             for t, y, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for f in {f for w in restorer.words(t or "") for f in features(w)}:
+                tokens = (t or "").split()
+                if len(known) > 200_000:
+                    known = {}
+                for token in set(tokens) - known.keys():
+                    known[token] = {f for w in restorer.word(token) for f in features(w)}
+                spaced = {f for w in restorer.spaced(tokens) for f in features(w)}
+                for f in spaced.union(*map(known.__getitem__, set(tokens))):
                     c = seen.setdefault(f, [0, 0, 0, 0])
                     c[2 * half] += y
                     c[2 * half + 1] += 1
@@ -121,10 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
         [log_odds({r.f: (r.t1, r.n1) for r in found}, base), log_odds({r.f: (r.t0, r.n0) for r in found}, base)])
 
     def weighed(batches):
-        forget_all()
-        restorer, other = Restorer(shared.value), [Weights(x) for x in halves.value]
+        restorer = Restorer(shared.value)
+        other = [Heavy(restorer, x) for x in halves.value]
         for batch in batches:
-            x = [[*other[half].heaviest(restorer.words(t or "")), float(y)]
+            x = [[*other[half].heaviest(t or ""), float(y)]
                  for t, y, half in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], names=["x"])
 
@@ -139,17 +173,17 @@ def score(docs: DataFrame, fitted: dict, *, text: str = "text", name: str = "sco
     repeated rows score alike, other columns play no part, and an empty table gives none. A column that is called `name`
     already is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    shared, key = docs.sparkSession.sparkContext.broadcast(fitted), uuid.uuid4().hex
     own = [c for c in (also if also is not None else docs.columns) if c.lower() != name.lower()]
     hidden, = free_names(docs, "scored")
     kept = docs.select(*own, F.col(text).cast("string").alias(hidden))
     schema = kept.drop(hidden).withColumn(name, F.lit(0.0)).schema
 
     def scored(batches):
-        forget_all()
-        restorer, odds, w = Restorer(shared.value["model"]), Weights(shared.value["odds"]), shared.value["weights"]
+        w = shared.value["weights"]
+        heavy = kept_here(key, lambda: Heavy(Restorer(shared.value["model"]), shared.value["odds"]))
         for batch in batches:
-            x = np.array([odds.heaviest(restorer.words(t or "")) for t in batch.column(batch.num_columns - 1).to_pylist()])
+            x = np.array([heavy.heaviest(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()])
             z = w[0] + (x.reshape(-1, TOP) @ w[1:] if batch.num_rows else np.empty(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
                                              names=schema.names)

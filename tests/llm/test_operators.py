@@ -364,3 +364,44 @@ def test_chains_in_a_band(spark):
     texts = [" ".join(words[15 * i:15 * i + 200]) for i in range(12)] + ["quite another text of more than five words", None, ""]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i + 100, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_first(rows, like=0.8).collect()) == [0, 12, 13]
+
+
+def test_viterbi_equals_enumeration():
+    """Every way through the lattice of a short word, scored one by one."""
+    from evengap.llm import deobfuscate as d
+
+    counts = trigrams(["the idiot is a little fool but good people will call all", "bill sells old books"])
+    model = language_model([(int(c), int(counts[c])) for c in np.flatnonzero(counts)])
+
+    def ways(word, i=0, before=""):
+        if i == len(word):
+            yield 0.0, ""
+            return
+        c = word[i]
+        outs = [(x, cost) for x, cost in [(c, 0.0)] * (c in d.CODE) + [(x, d.IMITATE) for x in d.IMITATED.get(c, "")]]
+        if c == before:
+            outs.append(("", d.DROP_REPEAT))
+        elif c not in d.CODE:
+            outs.append(("", d.DROP_SIGN))
+        for x, cost in outs:
+            for score, rest in ways(word, i + 1, c):
+                yield cost + score, x + rest
+
+    def score(cost, out):
+        codes = [0, 0, *(d.CODE[c] for c in out), 0]
+        return cost + sum(model[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    rng = np.random.default_rng(3)
+    for word in ["1d10t", "ca11", "goood", "1!t", "b00k$", "$$", "f-0-0-l", *("".join(rng.choice(list("abil01!-$"), 5)) for _ in range(200))]:
+        best = max(score(cost, out) for cost, out in ways(word))
+        got = d.restore(word, model)
+        assert max(score(cost, out) for cost, out in ways(word) if out == got) == pytest.approx(best)
+
+
+def test_long_runs_and_tokens_are_decoded():
+    counts = trigrams(["you are an idiot and a moron", "such an idiot", "moron moron idiot"] * 50)
+    restorer = Restorer(language_model([(int(c), int(counts[c])) for c in np.flatnonzero(counts)]))
+    assert "idiot" in restorer.words("i" * 60 + "d1" + "0" * 50 + "t")
+    assert {"idiot", "moron"} <= restorer.words("/".join(["1d10t", "m0r0n"] * 30))
+    assert "idiot" in restorer.words(" ".join("idiot" * 1 + "moron" * 40))
+    assert restorer.words("x" * 200_000 + "1") and restorer.words("1/" * 50_000)
