@@ -25,14 +25,17 @@ def encoder(path: str, spaced: bool) -> "WordIds":
 class WordIds:
     """spaced: a word's leading space is part of it (byte-level files); else white space only separates."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 700_000):
+    def __init__(self, path: str, spaced: bool, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.library, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
         self.library.encode_special_tokens = True
-        self.forget()
+        self.age()
+        self.age()
 
-    def forget(self) -> None:
+    def age(self) -> None:
+        """Begin a new generation; of the last one, pieces that are met again move over, the one before is dropped."""
+        self.older = (self.known, self.start, self.length, self.pool) if hasattr(self, "known") else None
         self.known: dict[str, int] = {"": 0}
         self.start, self.length, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.pool = np.zeros(1 << 18, np.uint32)
@@ -61,6 +64,18 @@ class WordIds:
         self.used += len(ids)
         self.known.update(zip(words, range(first, first + n)))
 
+    def again(self, words: list[str]) -> list[str]:
+        """Take over pieces of the generation before; the others are returned."""
+        known, start, length, pool = self.older
+        at = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        self.known.update((words[i], UNSAFE) for i in np.flatnonzero(at == UNSAFE))
+        met = np.flatnonzero(at >= 0)
+        if len(met):
+            counts = length[at[met]]
+            inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            self._keep([words[i] for i in met], pool[np.repeat(start[at[met]], counts) + inside], counts)
+        return [words[i] for i in np.flatnonzero(at == -1)]
+
     def learn(self, words: list[str]) -> None:
         """Encode pieces that were not met before."""
         joint, single = [], []
@@ -89,7 +104,7 @@ class WordIds:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind one another, and the number of ids of each text."""
         if len(self.known) > self.most:
-            self.forget()
+            self.age()
         cut = [self.pieces(t) for t in texts]
         sizes = np.fromiter((len(c) if c else 0 for c in cut), np.int64, len(cut))
         words = list(itertools.chain.from_iterable(c for c in cut if c))
@@ -97,7 +112,7 @@ class WordIds:
         missing = np.flatnonzero(at == -1)
         if len(missing):
             new = [words[i] for i in missing]
-            self.learn(list(dict.fromkeys(new)))
+            self.learn(self.again(list(dict.fromkeys(new))))
             at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         owner = np.repeat(np.arange(len(texts)), sizes)
         odd = {i for i, c in enumerate(cut) if c is None} | set(owner[at == UNSAFE].tolist())

@@ -405,3 +405,15 @@ def test_long_runs_and_tokens_are_decoded():
     assert {"idiot", "moron"} <= restorer.words("/".join(["1d10t", "m0r0n"] * 30))
     assert "idiot" in restorer.words(" ".join("idiot" * 1 + "moron" * 40))
     assert restorer.words("x" * 200_000 + "1") and restorer.words("1/" * 50_000)
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_generations_of_pieces(name, spaced):
+    """Ids stay right while pieces grow old, come back and are dropped."""
+    whole, encode = library(name), wordids.WordIds(tokenizer(name), spaced, most=40)
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["alpha", "beta,", "gämma", "x" * 30, "delta", " odd", "é"], 4)) + f" {rng.integers(200)} w{rng.integers(30)}" for _ in range(5)]
+        ids, counts = encode(texts)
+        assert [i for t in texts for i in whole(t)] == ids.tolist() and [len(whole(t)) for t in texts] == counts.tolist()
+        assert len(encode.known) <= 40 + 60
