@@ -7,6 +7,7 @@ for the letters it imitates, or for nothing (a separator, a repetition). The bes
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ SIZE = 64
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: Log costs of the channel.
 IMITATE, DROP_SIGN, DROP_REPEAT, SIGN_IS_LETTER = -1.5, -1.5, -1.0, -8.0
+#: A character and its repetitions; three that stand alone behind each other.
+TWICE = re.compile(r"((.)\2+)")
+ALONE = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
 #: Longest word that is read as one, and the windows of longer input.
 OVERLAP, WINDOW = 48, 2048
 
@@ -150,23 +154,39 @@ class Restorer:
         low = token.lower()
         core = low.strip(".,;:!?%*#&\"'()[]{}|-_/\\<>=~^`")
         if core.isalpha():
-            if not any(map(str.__eq__, core, core[1:])):
+            twice = [x for x, _ in TWICE.findall(core)]
+            if not twice:
                 return (core,)
-            if not any(a == b == c for a, b, c in zip(core, core[1:], core[2:])):
+            if len(twice) == 1 and len(twice[0]) == 2:
+                return self.doubled(core)
+            if max(map(len, twice)) == 2:
                 return tuple(dict.fromkeys(x for x in (core, restore(core, self.model)) if x))
         plain = "".join(c for c in core if c.isalpha())
-        found = [plain, restore(core, self.model), restore(low, self.model), restore(core, self.model, SIGN_IS_LETTER)]
+        found = [plain, *(restore(x, self.model) for x in {core, low}), restore(core, self.model, SIGN_IS_LETTER)]
         if any(c not in CODE for c in core):  # its runs of letters, and the words its signs hide or part
             found += "".join(c if c.isalpha() else " " for c in core).split()
             found += sorted(segments(core, self.model))
         return tuple(dict.fromkeys(x for x in found if x))
 
+    def doubled(self, word: str) -> tuple[str, ...]:
+        """As `restore` for a word of letters with one doubled: only the trigrams around it differ."""
+        at = TWICE.search(word).start()
+        b, c, d = (CODE.get(x) for x in (word[at - 1] if at else "", word[at], word[at + 2:at + 3]))
+        b, d = b if at else 0, d if len(word) > at + 2 else 0
+        if None in (b, c, d):
+            return tuple(dict.fromkeys(x for x in (word, restore(word, self.model)) if x))
+        once = self.model[b][c][d] + DROP_REPEAT
+        return (word, word[:at] + word[at + 1:]) if once > self.model[b][c][c] + self.model[c][c][d] else (word,)
+
     def words(self, text: str) -> set[str]:
         tokens = text.split()
-        return {w for t in set(tokens) for w in self.word(t)} | self.spaced(tokens)
+        return {w for t in set(tokens) for w in self.word(t)} | self.spaced(text)
 
-    def spaced(self, tokens: list[str]) -> set[str]:
+    def spaced(self, text: str) -> set[str]:
         """Words whose letters stand alone, as in "w o r d"."""
+        if not ALONE.search(text):
+            return set()
+        tokens = text.split()
         single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
         edge = np.diff(np.concatenate([[0], single, [0]]).astype(np.int8))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

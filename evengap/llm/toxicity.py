@@ -9,6 +9,7 @@ score.
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 
 import numpy as np
@@ -22,10 +23,12 @@ from evengap.llm.wordids import KEPT
 
 TOP = 3
 PRIOR = 3.0
+#: Letters of the beginnings.
+BEGUN = (3, 4, 5)
 
 
 def features(word: str) -> list[str]:
-    return [f"={word}", *(f"^{word[:n]}" for n in (3, 4, 5) if len(word) > n)]
+    return [f"={word}", *(f"^{word[:n]}" for n in BEGUN if len(word) > n)]
 
 
 def remainder(id: str) -> Column:
@@ -39,21 +42,26 @@ class Heavy:
     """
 
     def __init__(self, restorer: Restorer, odds: dict[str, float], most: int = 300_000):
-        self.restorer, self.odds, self.most = restorer, odds, most
+        self.restorer, self.most = restorer, most
+        self.whole = {f[1:]: x for f, x in odds.items() if f[0] == "="}
+        self.begun = {f[1:]: x for f, x in odds.items() if f[0] == "^"}
         self.met, self.older = set(), set()
         self.heavy: dict[str, dict[str, float]] = {}
 
     def weights(self, words) -> dict[str, float]:
         found = {}
+        whole, begun = self.whole.get, self.begun.get
         for w in words:
-            x = max((self.odds.get(f, 0.0) for f in features(w)), default=0.0)
+            x = whole(w, 0.0)
+            for n in BEGUN:
+                if len(w) > n:
+                    x = max(x, begun(w[:n], 0.0))
             if x > 0:
                 found[w] = x
         return found
 
     def heaviest(self, text: str) -> list[float]:
-        tokens = text.split()
-        own = set(tokens)
+        own = set(text.split())
         new = own - self.met
         if new:
             for token in new - self.older:
@@ -66,7 +74,7 @@ class Heavy:
         found: dict[str, float] = {}
         for token in own & self.heavy.keys():
             found |= self.heavy[token]
-        found |= self.weights(self.restorer.spaced(tokens))
+        found |= self.weights(self.restorer.spaced(text))
         if len(self.heavy) > self.most:
             self.met, self.older, self.heavy = set(), set(), {}
         return (sorted(found.values(), reverse=True) + [0.0] * TOP)[:TOP]
@@ -128,13 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
         restorer, known, seen = Restorer(shared.value), {}, {}
         for batch in batches:
             for t, y, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                tokens = (t or "").split()
+                tokens = set((t or "").split())
                 if len(known) > 200_000:
                     known = {}
-                for token in set(tokens) - known.keys():
-                    known[token] = {f for w in restorer.word(token) for f in features(w)}
-                spaced = {f for w in restorer.spaced(tokens) for f in features(w)}
-                for f in spaced.union(*map(known.__getitem__, set(tokens))):
+                for token in tokens - known.keys():
+                    known[token] = tuple({sys.intern(f) for w in restorer.word(token) for f in features(w)})
+                spaced = {f for w in restorer.spaced(t or "") for f in features(w)}
+                for f in spaced.union(*map(known.__getitem__, tokens)):
                     c = seen.setdefault(f, [0, 0, 0, 0])
                     c[2 * half] += y
                     c[2 * half + 1] += 1

@@ -417,3 +417,14 @@ def test_generations_of_pieces(name, spaced):
         ids, counts = encode(texts)
         assert [i for t in texts for i in whole(t)] == ids.tolist() and [len(whole(t)) for t in texts] == counts.tolist()
         assert len(encode.known) <= 40 + 60
+
+
+@settings(max_examples=300, deadline=None)
+@given(word=st.text(alphabet="abcil", min_size=2, max_size=9), at=st.integers(0, 8))
+def test_one_doubled_letter_is_decided_as_by_viterbi(word, at):
+    from evengap.llm import deobfuscate as d
+
+    counts = trigrams(["call all bill ball cab lab alibi", "a bail la ca ila"])
+    restorer = Restorer(language_model([(int(c), int(counts[c])) for c in np.flatnonzero(counts)]))
+    word = word[:at] + word[at:at + 1] + word[at:]
+    assert restorer.word(word)[:2] == tuple(dict.fromkeys([word, d.restore(word, restorer.model)])) or len(d.TWICE.findall(word)) != 1 or d.TWICE.search(word).end() - d.TWICE.search(word).start() > 2
