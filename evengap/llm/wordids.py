@@ -30,6 +30,14 @@ class WordIds:
 
         self.library, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
         self.library.encode_special_tokens = True
+        signs = {x: self.whole(x) for x in ".,"}
+        vocabulary = self.library.get_vocab()
+        self.ends = None
+        if not spaced and any(x.endswith("</w>") for x in vocabulary):
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.folds = not spaced and self.whole("Ab").tolist() == self.whole("ab").tolist()  # the file ignores case
+        self.signs = {x: int(ids[0]) for x, ids in signs.items() if len(ids) == 1}
         self.age()
         self.age()
 
@@ -46,7 +54,7 @@ class WordIds:
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or nothing if it can't be cut safely."""
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
+            return (text.lower() if self.folds and text.isascii() else text).replace("\n", " ").split(" ")
         if "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -77,7 +85,48 @@ class WordIds:
         return [words[i] for i in np.flatnonzero(at == -1)]
 
     def learn(self, words: list[str]) -> None:
-        """Encode pieces that were not met before."""
+        """Keep pieces that were not met before.
+
+        A full stop or comma behind a letter is a word of its own to both files, so what is before it is encoded once,
+        and the sign is added.
+        """
+        signed = [w for w in words if w[-1:] in self.signs and w[-2:-1].lower().isalpha()]
+        if not signed:
+            self.encode(words)
+            return
+        apart = set(signed)
+        plain = dict.fromkeys(w for w in words if w not in apart)
+        bases = [w[:-1] for w in signed]
+        more = self.again([b for b in dict.fromkeys(bases) if b not in self.known and b not in plain])
+        self.encode([*plain, *more])
+        at = np.fromiter(map(self.known.__getitem__, bases), np.int64, len(bases))
+        self.known.update((signed[i], UNSAFE) for i in np.flatnonzero(at == UNSAFE))
+        safe = np.flatnonzero(at >= 0)
+        own = self.length[at[safe]]
+        ends = np.cumsum(own + 1)
+        ids = np.empty(int(own.sum()) + len(safe), np.uint32)
+        inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        ids[np.repeat(ends - own - 1, own) + inside] = self.pool[np.repeat(self.start[at[safe]], own) + inside]
+        ids[ends - 1] = [self.signs[signed[i][-1]] for i in safe]
+        self._keep([signed[i] for i in safe], ids, own + 1)
+
+    def encode(self, words: list[str]) -> None:
+        """Encode pieces by the library.
+
+        A piece of letters is one word to a file of word ends, so its ids end at the id that ends a word. The ids of other
+        pieces are told by their offsets.
+        """
+        if self.ends is not None:
+            one = [w.isalpha() and (w.isascii() or w.lower().isalpha()) for w in words]
+            letters, words = list(itertools.compress(words, one)), [w for w, x in zip(words, one) if not x]
+            for i in range(0, len(letters), 500):
+                part = letters[i:i + 500]
+                ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.ends[ids])
+                if len(ends) == len(part):
+                    self._keep(part, ids, np.diff(ends, prepend=-1))
+                else:
+                    words += part
         joint, single = [], []
         for w in words:
             core = w[1:] if self.spaced and w[0] == " " else w
