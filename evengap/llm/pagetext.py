@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from functools import lru_cache
 
+#: Comments and raw text that never close match up to the end; a tag with an open quote ends at the next `>`.
+#: Nothing is tried twice at one place, and beyond the last `>` nothing is tried: the time grows with the page alone.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|iframe|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S | re.I)
+    r"<!--.*?(?:-->|(?P<open>\Z))|<(?P<raw>script|style|title|textarea|iframe|noframes|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|(?P<cut>\Z))"
+    r"""|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?:(?P<attr>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|(?P<odd>[^>]*+)>)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -28,6 +32,12 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
           "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"},
            "dd": {"dl"}, "option": {"select"}}
+#: Texts of an article that may be a menu inside it: list items of at most so many words.
+ITEMS, BRIEF = {"li", "dt", "dd"}, 5
+#: What a block is: its host's template may claim it, it is all links, or it is a text of an article, which none may claim.
+LOOSE, LINKS, FIRM = 0, 1, 2
+#: Without any article zone, a template that leaves less than one part in so many of a page's text is no template.
+LEAST = 10
 #: A paragraph that is still open ends before these.
 ENDS_PARAGRAPH = BLOCK - {"button", "option", "noscript", "template", "svg", "select", "html", "head", "body"}
 
@@ -60,9 +70,54 @@ def judged(tag: str, attributes: str, article: bool) -> tuple[str, bool, int]:
     return name, drop, zone
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, int, bool]], list[str]]:
-    """Blocks (path, text, zone, all of it links) that may be article text, and the paths of all blocks and dropped parts."""
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
+@lru_cache(maxsize=100_000)
+def below(path: str, name: str) -> str:
+    """The path of an element inside another: a digest, so that deep markup costs no more than flat markup."""
+    return hashlib.blake2b(f"{path}/{name}".encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+class Open:
+    """The elements that are open, (tag, path, dropped, zone) each, and where each tag stands among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
+        self.spots: dict[str, list[int]] = {}
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags, 0 for none."""
+        return max((self.spots[t][-1] for t in tags if self.spots.get(t)), default=0)
+
+    def push(self, *element) -> None:
+        self.spots.setdefault(element[0], []).append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.spots[self.stack.pop()[0]].pop()
+
+    def close_before(self, tag: str) -> None:
+        """End the elements that cannot hold a new block of this tag: an open paragraph, or the row or item before."""
+        paragraph = {"p"} if tag in ENDS_PARAGRAPH or tag == "p" else set()
+        shut = CLOSES.get(tag, set()) if tag != "p" else set()
+        if shut:
+            barrier = self.last(BARRIER.get(tag, ()))
+            while (at := self.last(shut | paragraph)) > barrier:
+                self.cut(at)
+                if tag != "tr":
+                    break
+            return
+        for at in range(len(self.stack) - 1, 0, -1):
+            if self.stack[at][0] in paragraph:
+                self.cut(at)
+                break
+            if self.stack[at][0] in BLOCK:
+                break
+
+
+def blocks(page: str) -> tuple[list[tuple[str, str, int, int]], list[str]]:
+    """Blocks (path, text, zone, kind) that may be article text, and the paths of all blocks and dropped parts."""
+    opened = Open()
+    stack = opened.stack
     found, stream, run = [], [], []
     linked = plain = 0
     in_link, at = False, 0
@@ -73,9 +128,11 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int, bool]], list[str]]:
             text = "".join(run)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                top = stack[-1]
-                found.append((top[1], text, top[3], linked > 9 * plain))
-                stream.append(top[1])
+                tag, path, _, zone = stack[-1]
+                item = tag in ITEMS and text.count(" ") < BRIEF
+                kind = LINKS if linked > 9 * plain else FIRM if zone and not item else LOOSE
+                found.append((path, text, zone, kind))
+                stream.append(path)
             run.clear()
             linked = plain = 0
 
@@ -89,24 +146,21 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int, bool]], list[str]]:
             else:
                 plain += n
 
-    for m in TOKEN.finditer(page):
+    for m in TOKEN.finditer(page, 0, page.rfind(">") + 1):
         if m.start() > at:
             add(page[at:m.start()])
-        at = m.end()
-        tag = m.group(3)
+        at = m.end() if m["open"] is None and m["cut"] is None else len(page)
+        tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
-        if m.group(2):
+        if m["end"]:
             if tag == "a":
                 in_link = False
-            elif tag in BLOCK or any(e[0] == tag for e in stack):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        if tag in BLOCK:
-                            flush()
-                        del stack[i:]
-                        break
+            elif opened.spots.get(tag):
+                if tag in BLOCK:
+                    flush()
+                opened.cut(opened.last((tag,)))
             continue
         if tag in VOID:
             if tag == "br":
@@ -120,28 +174,21 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int, bool]], list[str]]:
         if block:
             flush()
             in_link = in_link and tag != "p"
-            shut = CLOSES.get(tag, ()) if tag != "p" else ()
-            for i in range(len(stack) - 1, 0, -1):
-                open_tag = stack[i][0]
-                if open_tag == "p" and tag in ENDS_PARAGRAPH or open_tag in shut:
-                    del stack[i:]
-                    if tag not in ("tr",):
-                        break
-                elif open_tag in BARRIER.get(tag, ()) or open_tag in BLOCK and not shut:
-                    break
-        attributes = m.group(4)
+            opened.close_before(tag)
+        attributes = m["attr"] if m["attr"] is not None else m["odd"]
         if not block and not attributes:
             continue
         _, path, dropped, zone = stack[-1]
         name, drop, own = judged(tag, attributes, zone == 2)
         if not block and not (drop and not dropped):
             continue
-        where = path if tag in ("html", "body") else f"{path}/{name}"
+        where = path if tag in ("html", "body") else below(path, name)
         if drop and not dropped:
             stream.append(where + "!")
-        stack.append((tag, where, dropped or drop, max(zone, own)))
+        opened.push(tag, where, dropped or drop, max(zone, own))
     if at < len(page):
-        add(page[at:])
+        # a comment that opens behind the last tag
+        add(page[at:].split("<!--", 1)[0])
     flush()
     return found, stream
 
@@ -179,15 +226,19 @@ def places(spots: list[int]) -> list[int]:
     return out
 
 
-def chosen(texts: list[str], zones: list[int], linked: list[bool], where: list[int], fixed: set[int]) -> str:
+def chosen(texts: list[str], zones: list[int], kinds: list[int], where: list[int], fixed: set[int]) -> str:
     """The text of the blocks that are not of the template; where a page has articles, of those in the innermost zone."""
-    left = [(t, z, link) for t, z, link, w in zip(texts, zones, linked, where) if w not in fixed]
+    left = [(t, z, k) for t, z, k, w in zip(texts, zones, kinds, where) if k == FIRM or w not in fixed]
     zone = max((z for _, z, _ in left), default=0)
-    return " ".join(t for t, z, link in left if (z == zone if zone else not link))
+    if zone:
+        return " ".join(t for t, z, _ in left if z == zone)
+    every = [t for t, z, k in zip(texts, zones, kinds) if k != LINKS and not z]
+    some = [t for t, _, k in left if k != LINKS]
+    return " ".join(every if LEAST * sum(map(len, some)) < sum(map(len, every)) else some)
 
 
-def parts(page: str) -> tuple[list[str], list[str], list[int], list[int], list[bool]]:
-    """The folded stream of a page, and of its blocks the texts, places, zones and whether all is links."""
+def parts(page: str) -> tuple[list[str], list[str], list[int], list[int], list[int]]:
+    """The folded stream of a page, and of its blocks the texts, places, zones and kinds."""
     found, stream = blocks(page)
     folded, place = shape(stream)
     where = places([p for s, p in zip(stream, place) if not s.endswith("!")])
@@ -196,5 +247,5 @@ def parts(page: str) -> tuple[list[str], list[str], list[int], list[int], list[b
 
 def article(page: str, fixed: set[int]) -> str:
     """The article text of one page; `fixed` are the places of template blocks."""
-    _, texts, where, zones, linked = parts(page)
-    return chosen(texts, zones, linked, where, fixed)
+    _, texts, where, zones, kinds = parts(page)
+    return chosen(texts, zones, kinds, where, fixed)

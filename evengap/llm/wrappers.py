@@ -4,7 +4,9 @@ Pages of one host follow a template. Each page is a stream of blocks named by th
 neighbouring repeats folded. The distinct streams of a host are aligned one after the other into a wrapper, a
 union-free regular expression: a mismatch makes an item optional, a folded repeat makes it a group, and text that
 differs between pages makes it a slot. Blocks whose text is the same on all pages belong to the template, each by its
-slot and its turn within a repeat, also inside an article. What the wrapper leaves is chosen from by its markup.
+slot and its turn within a repeat. Inside an article only links and short list items can be template, and copies of an
+article count once, so neither its headings nor a text that a host repeats is lost. What the wrapper leaves is chosen
+from by its markup.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from evengap.llm import pagetext
 from evengap.llm.common import stored
 from evengap.llm.contamination import small_enough
 
-SALTS = 16
-#: Distinct pages of a host that a text has to stand on unchanged to count as template.
+#: Shapes or partial wrappers that one task folds; a host with more is folded in several rounds.
+FAN = 64
+#: Different articles of a host that a text has to stand beside unchanged to count as template.
 PAGES = 3
 
 
@@ -52,8 +55,10 @@ def align(wrapper: list[list], items: list[str]) -> tuple[list[list], list[int]]
 
 
 def infer(shapes: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) from distinct (host, shape): parts of a host by salt first, then those parts."""
-    def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(host, wrapper as JSON) from distinct (host, shape): each round folds some `FAN` parts of a host into one."""
+    def folded(rows: DataFrame) -> DataFrame:
+        keys = ["host", "part"]
+
         # shapes stream past in order; a task holds the wrapper of one group and a batch of shapes, however many there are
         def fold(batches):
             now, wrapper = None, []
@@ -61,36 +66,44 @@ def infer(shapes: DataFrame) -> DataFrame:
                 for *key, one in zip(*(batch[c] for c in [*keys, "wrapper"])):
                     if key != now:
                         if now is not None:
-                            yield pd.DataFrame({"host": [now[0]], "wrapper": [json.dumps(wrapper)]})
+                            yield pd.DataFrame({"host": [now[0]], "part": [now[1]], "wrapper": [json.dumps(wrapper)]})
                         now, wrapper = key, []
                     other = json.loads(one)
                     wrapper, place = align(wrapper, [w[0] for w in other])
                     for w, i in zip(other, place):
                         wrapper[i] = [w[0], wrapper[i][1] or w[1]]
             if now is not None:
-                yield pd.DataFrame({"host": [now[0]], "wrapper": [json.dumps(wrapper)]})
+                yield pd.DataFrame({"host": [now[0]], "part": [now[1]], "wrapper": [json.dumps(wrapper)]})
 
         return (rows.select(*keys, "wrapper").repartition(*keys).sortWithinPartitions(*keys, "wrapper")
-                .mapInPandas(fold, "host string, wrapper string"))
+                .mapInPandas(fold, "host string, part long, wrapper string"))
 
-    first = shapes.select("host", F.col("shape").alias("wrapper"), F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("salt"))
-    return folded(folded(first, ["host", "salt"]), ["host"])
+    most = shapes.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    count = 1
+    while count * FAN < most:
+        count *= FAN
+    rows = shapes.select("host", F.pmod(F.xxhash64("shape"), F.lit(count)).alias("part"), F.col("shape").alias("wrapper"))
+    while count > 1:
+        rows = stored(folded(rows), "parts")
+        count //= FAN
+        rows = rows.withColumn("part", F.pmod("part", F.lit(count)))
+    return folded(rows).select("host", "wrapper")
 
 
 def parsed(pages: DataFrame, url: str, html: str, also: dict[str, str] | None = None) -> DataFrame:
-    """(columns of `also`, host, shape, at, texts, zones, linked): each page's folded stream as a wrapper of its own, its blocks and their places."""
+    """(columns of `also`, host, shape, at, texts, zones, kinds): each page's folded stream as a wrapper of its own, its blocks and their places."""
     also = also or {}
     kept = pages.select(*[F.col(c).alias(n) for n, c in also.items()], host(url).alias("host"), F.col(html).cast("string").alias("html"))
     schema = T.StructType(kept.drop("html").schema.fields + T.StructType.fromDDL(
-        "shape string, at array<long>, texts array<string>, zones array<int>, linked array<boolean>").fields)
-    types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        "shape string, at array<long>, texts array<string>, zones array<int>, kinds array<int>").fields)
+    types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                shape, texts, where, zones, linked = pagetext.parts(text or "")
-                rows.append((json.dumps([[s, False] for s in shape]), where, texts, zones, linked))
+                shape, texts, where, zones, kinds = pagetext.parts(text or "")
+                rows.append((json.dumps([[s, False] for s in shape]), where, texts, zones, kinds))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))],
                                              names=schema.names)
 
@@ -98,13 +111,15 @@ def parsed(pages: DataFrame, url: str, html: str, also: dict[str, str] | None =
 
 
 def streams(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, shape, at, hashes, page): the streams, and the hashed texts by place."""
+    """(host, shape, at, hashes, page): the streams, the hashed texts by place, and a hash of the article, or else of all texts."""
     hashes = F.transform("texts", lambda t: F.xxhash64(t))
-    return parsed(pages, url, html).select("host", "shape", "at", hashes.alias("hashes"), F.xxhash64("texts").alias("page"))
+    firm = F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] == pagetext.FIRM)["texts"]
+    page = F.when(F.size(firm) > 0, F.xxhash64(firm)).otherwise(F.xxhash64("texts"))
+    return parsed(pages, url, html).select("host", "shape", "at", hashes.alias("hashes"), page.alias("page"))
 
 
 def template(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, shape as a hash, fixed): the places whose text is the same on all pages, on hosts with several different pages.
+    """(host, shape as a hash, fixed): the places whose text is the same on all pages, on hosts with several different articles.
 
     A place is an item of the shape and its turn among the item's repeats, so that the lines of a menu are told apart.
     """
@@ -125,13 +140,13 @@ def template(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataF
     slots = stored(shapes.select("host", "shape").join(wrappers, "host").mapInPandas(
         placed, "host string, shape string, slots array<int>"), "slots")
     # one row for each distinct page before its blocks are spread
-    distinct = seen.groupBy("host", "shape", "page").agg(F.first("at").alias("at"), F.first("hashes").alias("hashes"))
+    distinct = seen.dropDuplicates(["host", "shape", "page", "at", "hashes"])
     item, turn = F.shiftright("x.at", 32).cast("int"), F.col("x.at").bitwiseAND(F.lit(0xFFFFFFFF))
     spots = (distinct.join(slots, ["host", "shape"])
              .select("host", "page", "slots", F.explode(F.arrays_zip("at", "hashes")).alias("x"))
              .select("host", "page", F.get("slots", item).alias("slot"), turn.alias("turn"), F.col("x.hashes").alias("h")))
-    by_slot = spots.groupBy("host", "slot", "turn").agg(F.min("h").alias("a"), F.max("h").alias("b"),
-                                                        F.approx_count_distinct("page").alias("n"))
+    by_page = spots.groupBy("host", "slot", "turn", "page").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    by_slot = by_page.groupBy("host", "slot", "turn").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
     fixed = stored(by_slot.where((F.col("a") == F.col("b")) & (F.col("n") >= PAGES)).select("host", "slot", "turn"), "fixed")
     # back from slots of the host's wrapper to the items of each shape
     items = slots.select("host", F.xxhash64("shape").alias("shape"), F.posexplode("slots").alias("item", "slot"))
@@ -144,12 +159,13 @@ def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
 
     A null page counts as empty; an empty page, or one without article text, gives an empty text. Pages without a host
     in their url form one group. Repeated ids and rows are extracted each by itself, other columns are ignored, and an
-    empty table gives no rows. Markup that never closes ends with the page.
+    empty table gives no rows. Markup that never closes ends with the page. Pages that repeat an article, with or without
+    other texts around it, keep it.
     """
     fixed = stored(template(pages, url=url, html=html), "templates")
     out = parsed(pages, url, html, {"page_id": id, "url": url}).withColumn("shape", F.xxhash64("shape"))
     size = fixed.agg(F.sum(F.size("fixed"))).first()[0] or 0
-    out = out.join(small_enough(fixed, size), ["host", "shape"], "left").select("page_id", "url", "texts", "zones", "linked", "at", "fixed")
+    out = out.join(small_enough(fixed, size), ["host", "shape"], "left").select("page_id", "url", "texts", "zones", "kinds", "at", "fixed")
     kinds = pages.schema[id].dataType.simpleString(), pages.schema[url].dataType.simpleString()
 
     def texts(batches):

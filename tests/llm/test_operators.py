@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -255,6 +256,49 @@ def test_wrapper_drops_repeated_menus_also_in_articles(spark):
     assert got == {10 * k + i: " ".join([f"Title {i}", *(f"Line {i} {j}" for j in range(i + 1))]) for k in range(2) for i in range(5)}
 
 
+def test_wrapper_keeps_articles_that_a_host_repeats(spark):
+    copy = "<body><article><h1>Same title</h1><p>The very same article text.</p></article><p>Seen {} times</p></body>"
+    heads = "<body><article><h1>Introduction</h1><p>Body {0} of its own</p><h2>Conclusion</h2><p>End {0} of it</p></article></body>"
+    bare = "<body><div><p>Home page</p><p>All news</p></div><div><h1>Title {0}</h1><p>Text {0} told at length.</p></div><div><p>Made by us</p></div></body>"
+    same = "<body><h1>Same title</h1><p>" + "The very same text without any article tag. " * 20 + "</p><p>Seen {} times</p></body>"
+    rows = [(100 * h + i, f"http://h{h}.org/{i}", page.format(i)) for h, page in enumerate([copy, heads, bare, same]) for i in range(4)]
+    rows += [(900 + i, "http://h0.org/again", copy.format(0)) for i in range(5)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == "Same title The very same article text." == got[900 + i]
+        assert got[100 + i] == f"Introduction Body {i} of its own Conclusion End {i} of it"
+        assert got[200 + i] == f"Title {i} Text {i} told at length."
+        assert got[300 + i].startswith("Same title The very same text")
+
+
+def test_hostile_markup_takes_linear_time():
+    start = time.monotonic()
+    n = 100_000
+    assert article("<a" * n, set()) == "<a" * n
+    assert article("<div>" * n + "x" + "</section>" * n, set()) == "x"
+    for page in ['<a "' * (n + 1) + ">", "<script" * n, "<!--" * n, "<div>" * n + "<li></li>" * n, "<script>" + "</script " * n, "</" * n + ">"]:
+        article(page, set())
+    assert article("<p>one</p><script>x > 2; y", set()) == article("<p>one<!-- two", set()) == "one"
+    assert time.monotonic() - start < 20
+
+
+def test_hosts_of_many_shapes_are_folded_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN", 3)
+    tags = ["h1", "h2", "h3", "p", "pre", "ul"]
+    rows = [(i, "http://a.org/", f"<body><section>Top line</section><blockquote>Text {i}</blockquote>"
+             + "".join(f"<{t}>own {i} {t}</{t}>" for b, t in enumerate(tags) if i >> b & 1) + "</body>") for i in range(40)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 40 and all(r.text.startswith(f"Text {r.page_id}") for r in got)
+
+
+def test_long_runs_of_dots_take_linear_time(spark):
+    docs = spark.createDataFrame([(1, "Licensed under " + "." * 1_000_000 + "x"), (2, "Licensed under the MIT license" + " ." * 1000)],
+                                 "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+    assert got == {1: "unknown", 2: "MIT"} and time.monotonic() - start < 20
+
+
 def test_wrappers_align():
     wrapper, place = wrappers.align([["a", False], ["b", False], ["d", False]], ["a", "c", "d"])
     assert [w[0] for w in wrapper] == ["a", "b", "c", "d"] and [w[1] for w in wrapper] == [False, True, True, False]
