@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Single words, one of which every known sentence has, however it is wrapped.
 HINT = r"(?i)licen[sc]|released|distributed|available|published|provided|domain|reserved|permission|redistribut|endorse"
-#: What the SQL passes texts and sentences by.
-SQL_HINT = r"(?i)licen[sc]e|rights reserved|permission|redistribut|warrant|public domain|copyright|provided as is|provided \W?as is"
 #: Identifiers of sentences, and what the normalised sentence looks like.
 THIS = r"(?:(?:this|the) (?:work|software|file|project|code|program|library|material|document|text|content|article|page) is )?"
 UNDER = THIS + r"(?:licensed|released|distributed|available|published|provided)(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
@@ -63,7 +61,7 @@ def identifiers(text: Column) -> Column:
     some = F.filter(F.split(ended, mark), lambda s: s.rlike(HINT))
 
     def plain(s: Column) -> Column:
-        return F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), NOISE, " ")), r"[. ]+$", "")
+        return F.rtrim(F.ltrim(F.regexp_replace(F.lower(s), NOISE, " ")), F.lit(". "))
 
     def known(s: Column) -> Column:
         chosen = F.when(s.rlike("^" + SENTENCES[0][1]), SENTENCES[0][0])
@@ -72,8 +70,8 @@ def identifiers(text: Column) -> Column:
         return chosen.when(s.rlike(UNKNOWN), "unknown").otherwise("")
 
     # lines that are known by themselves stand; else the sentence is read across its line breaks
-    read = F.transform(some, lambda s: F.struct(F.transform(F.split(s, "\n"), lambda x: known(plain(x))).alias("lines"),
-                                                known(plain(s)).alias("whole")))
+    read = F.transform(some, lambda s: F.struct(F.transform(F.transform(F.split(s, "\n"), plain), known).alias("lines"),
+                                                F.transform(F.array(plain(s)), known)[0].alias("whole")))
     chosen = F.flatten(F.transform(read, lambda r: F.when(
         F.exists(r["lines"], lambda x: ~x.isin("", "unknown")) | (r["whole"] == ""), r["lines"]).otherwise(F.array(r["whole"]))))
     return F.concat(F.lit(" "), F.array_join(F.transform(F.filter(chosen, lambda x: x != ""), lambda x: F.concat(x, F.lit(" "))), " "))
@@ -110,12 +108,17 @@ def _sql() -> str:
         steps.append(f"r{i} AS (SELECT doc_id, sentences, replace(seq, '{spaced}', '') AS seq, CASE WHEN contains(seq, '{spaced}') "
                      f"AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names "
                      f"FROM {f'r{i - 1}' if i else 'b'})")
+    mark, line = "chr(1)", "chr(10)"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN regexp_matches(text, '{SQL_HINT}') THEN text ELSE '' END AS text FROM documents),
-p AS (SELECT r, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM (SELECT r, list_transform(
-    string_split(regexp_replace(text, '{ENDS}', '\\1' || chr(10), 'g'), chr(10)),
-    lambda s: regexp_replace(trim(regexp_replace(lower(s), '{NOISE}', ' ', 'g')), '[. ]+$', '')) AS x FROM d WHERE text <> '')),
-k AS (SELECT r, i, {chosen} AS id FROM p WHERE regexp_matches(s, '{SQL_HINT}')),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+p AS (SELECT r, generate_subscripts(x, 1) AS i, unnest(x) AS t FROM (SELECT r, string_split(regexp_replace(regexp_replace(
+    replace(text, {mark}, ' '), '([.;:!?])[ \\t\\n\\v\\f\\r]+', '\\1' || {mark}, 'g'), '\\n[ \\t\\r]*\\n', {mark}, 'g'), {mark}) AS x FROM d)),
+l AS (SELECT r, i, 0 AS j, t FROM p UNION ALL
+      SELECT r, i, generate_subscripts(y, 1) AS j, unnest(y) AS t FROM (SELECT r, i, string_split(t, {line}) AS y FROM p)),
+n AS (SELECT r, i, j, rtrim(trim(regexp_replace(lower(t), '{NOISE}', ' ', 'g')), '. ') AS s FROM l),
+v AS (SELECT r, i, j, {chosen} AS id FROM n),
+u AS (SELECT r, i, bool_or(j > 0 AND id NOT IN ('', 'unknown')) OR bool_or(j = 0 AND id = '') AS by_line FROM v GROUP BY r, i),
+k AS (SELECT r, i * 1000000000 + j AS i, id FROM v JOIN u USING (r, i) WHERE by_line = (j > 0)),
 g AS (SELECT r, string_agg(id, ' ' ORDER BY i) AS sentences FROM k WHERE id <> '' GROUP BY r),
 b AS (SELECT doc_id, coalesce(sentences, '') AS sentences, ' ' || replace(coalesce(sentences, ''), ' ', '  ') || ' ' AS seq, []::VARCHAR[] AS names
       FROM d LEFT JOIN g USING (r)),
