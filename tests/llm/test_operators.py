@@ -1,10 +1,12 @@
 """Every operator of the llm subpackage against a brute-force version, on tables with nulls, copies and odd rows."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -159,11 +161,41 @@ def test_contamination(spark):
     items = spark.createDataFrame([(7, item, 0), (8, "one two three", 0), (9, None, 0), (None, item, 0), (7, item, 0)],
                                   "item_id long, text string, n int")
     got = contamination.contained(docs, items).collect()
-    assert [(r.doc_id, r.item_id, r.shared, r.shingles, r.containment) for r in got] == [(1, 7, 10, 10, 1.0)]
-    assert sorted(r.h for r in contamination.without(docs, items).collect()) == [2, 3, 4, 5, 6]
+    assert sorted((r.doc_id, r.item_id, r.shared, r.shingles, r.containment) for r in got) == [
+        (1, 7, 10, 10, 1.0), (1, 8, 1, 1, 1.0), (2, 8, 1, 1, 1.0), (5, 8, 1, 1, 1.0)]
+    assert sorted(r.h for r in contamination.without(docs, items).collect()) == [3, 4, 5]
+    long = items.where("item_id = 7")
+    assert sorted(r.h for r in contamination.without(docs, long).collect()) == [2, 3, 4, 5, 6]
     assert contamination.contained(docs, items.limit(0)).count() == contamination.contained(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("rows", [2_000_000, 0])
+def test_contamination_equals_brute_force_and_sql(spark, monkeypatch, rows):
+    """Items of 0 to 12 words, joined by broadcasts and by shuffles."""
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", rows)
+    draw = random.Random(3)
+    text = lambda n: " ".join(draw.choice("abcd") for _ in range(n))
+    docs = [(i, text(draw.choice([0, 1, 2, 4, 7, 30, 200]))) for i in range(60)] + [(100, None)]
+    items = [(i, text(i % 13) + ". ") for i in range(80)] + [(100, None), (101, "zz top"), (102, "...")]
+    want = {}
+    for d, body in docs:
+        for i, item in items:
+            w, g = (body or "").split(), (item or "").replace(".", " ").split()
+            k = min(len(g), 5)
+            has = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)}
+            own = {tuple(g[j:j + k]) for j in range(len(g) - k + 1)} if g else set()
+            if own and len(own & has) / len(own) >= 0.8:
+                want[d, i] = (len(own & has), len(own))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.contained(documents, benchmark).collect()
+    assert {(r.doc_id, r.item_id): (r.shared, r.shingles) for r in got} == want and len(got) == len(want) > 200
+    db = duckdb.connect()
+    db.register("documents", documents.toPandas())
+    db.register("benchmark", benchmark.toPandas())
+    assert {(r[0], r[1]): (r[2], r[3]) for r in db.sql(contamination.SQL).fetchall()} == want
+
+
 def test_pseudonyms(spark):
     texts = ["Card 4111 1111 1111 1111 or 4111111111111111, not 4111111111111112.", "Call +1 (523) 555-1055 or 523-555-1055!",
              "From 10.0.255.1 on 2024-02-29, 31/12/1999 and 2023-02-30", "Mail bosbt.42@mail8.example.com.", "nothing 12 here", None, "",
