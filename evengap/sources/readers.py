@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,49 +25,54 @@ EVENT_TYPES = {
     "tripupdates_not_merged_with_stoptimes_or_trip": "int",
 }
 
+ARROW_SCHEMES = ("file", "hdfs", "s3", "s3a", "gs")
+BLOCK = 1 << 16
+
 
 def _names(line: str, sep: str) -> tuple[str, ...]:
     return tuple(n.strip().strip('"') for n in line.lstrip("\ufeff").split(sep))
 
 
-def _plain(path: str) -> str:
-    """A path whose empty authority is left out: file:/a and file:///a are one file."""
-    return re.sub(r"^([A-Za-z0-9+.-]+):///", r"\1:/", path)
-
-
 def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
     """Column names of one file: the first line, read without scanning the rest."""
-    first = spark.read.text(path).limit(1).collect()
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
     return _names(first[0][0], sep) if first else ()
 
 
-def _files_by_header(spark: SparkSession, glob: str | list[str], sep: str,
-                     known: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header, found by one job over all files, however many there are.
+def _files_by_header(spark: SparkSession, glob: str | list[str], sep: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header: one job over the paths opens every file and reads as far as its first line.
 
-    A header is a line with a column's name as a field. Files that have no such line are read by their first line,
-    found by one more job over them. Paths reach the driver, which lists them for any scan anyhow.
+    Files without any line have no header. Paths and headers reach the driver, which lists the files for any scan
+    anyhow. On file systems that pyarrow does not know each file's first line costs a small job; naming ``columns``
+    saves them.
     """
-    fields = F.split(F.ltrim("value", F.lit("\ufeff")), f"\\Q{sep}\\E")
-    named = F.arrays_overlap(F.transform(fields, lambda c: F.trim(c, F.lit(' "'))), F.array(*[F.lit(n) for n in known]))
-    lines = spark.read.text(glob).where(named)
-    found: dict[tuple[str, ...], list[str]] = {}
-    seen = set()
-    for path, line in sorted(lines.select("_metadata.file_path", "value").collect()):
-        if path in seen:
-            raise ValueError(f"{path} has more than one header line")
-        seen.add(path)
-        found.setdefault(_names(line, sep), []).append(unquote(path))
-    listed = {unquote(p) for p in spark.read.text(glob).inputFiles()}
-    known_files = {_plain(unquote(p)) for p in seen}
-    bare = sorted(p for p in listed if _plain(p) not in known_files)
-    if bare:
-        order = F.monotonically_increasing_id()  # rises along a file; its first line is in the block that starts it
-        firsts = (spark.read.text(bare).select("_metadata.file_path", "_metadata.file_block_start", "value", order.alias("i"))
-                  .where("file_block_start = 0 and trim(value) <> ''").groupBy("file_path").agg(F.min_by("value", "i").alias("value")))
-        for path, line in sorted(firsts.collect()):
-            found.setdefault(_names(line, sep), []).append(unquote(path))
-    return found
+    def first_lines(batches):  # local, so that workers need not have this package
+        for batch in batches:
+            lines = []
+            for uri in batch.column(0).to_pylist():
+                system, inner = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+                with system.open_input_stream(inner, compression="detect") as file:
+                    head = b""
+                    while not (text := head.lstrip()) or b"\n" not in text:
+                        if not (block := file.read(BLOCK)):
+                            break
+                        head += block
+                lines.append(text.split(b"\n")[0].decode() if (text := head.lstrip()) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], names=["path", "line"])
+
+    paths = spark.read.text(glob).inputFiles()
+    if all(p.split(":", 1)[0] in ARROW_SCHEMES for p in paths):
+        table = spark.createDataFrame([(p,) for p in paths], "path string")
+        spread = table.repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
+        found = spread.mapInArrow(first_lines, "path string, line string").where("line IS NOT NULL").collect()
+        heads = [(path, _names(line, sep)) for path, line in found]
+    else:
+        heads = [(path, _header(spark, unquote(path), sep)) for path in paths]
+    files: dict[tuple[str, ...], list[str]] = {}
+    for path, names in sorted(heads):
+        if names:
+            files.setdefault(names, []).append(unquote(path))
+    return files
 
 
 def read_events(spark: SparkSession, glob: str | list[str], types: dict[str, str] | None = None, sep: str = ",",
@@ -74,8 +80,8 @@ def read_events(spark: SparkSession, glob: str | list[str], types: dict[str, str
     """Read CSV files (plain or gzip) whose columns may differ in order and number; union by name.
 
     A schema on a CSV reader binds by position, so every file is read with the
-    columns of its own header as text and cast by name. One job finds the headers,
-    and files with equal headers share one scan. ``columns`` names the columns of
+    columns of its own header as text and cast by name. One job finds the headers, the
+    first line of every file that is not blank, and files with equal headers share one scan. ``columns`` names the columns of
     all files in their order and saves that job; then and otherwise the scan
     checks every file's header and fails where it differs. A value that does not
     fit its type becomes null, or ends the read if ``strict``. A gzip file is one
@@ -85,7 +91,7 @@ def read_events(spark: SparkSession, glob: str | list[str], types: dict[str, str
     if columns is not None:
         files = {tuple(columns): glob}
     else:
-        files = _files_by_header(spark, glob, sep, list(types)) if glob else {}
+        files = _files_by_header(spark, glob, sep) if glob else {}
     if not files:
         raise FileNotFoundError(f"no file with a header: {glob}")
     cast = "cast" if strict else "try_cast"

@@ -57,9 +57,27 @@ def test_given_columns_are_checked_by_the_scan(spark, tmp_path):
         read_events(spark, f"{tmp_path}/*.csv", columns=["trip_id", "date"], strict=True).collect()
     with pytest.raises(Exception, match="(?i)header"):
         read_events(spark, f"{tmp_path}/*.csv", columns=["date", "trip_id"]).collect()
-    (tmp_path / "b.csv").write_text("trip_id,date\n1,2024\ntrip_id,date\n")
-    with pytest.raises(ValueError, match="more than one header"):
-        read_events(spark, f"{tmp_path}/b.csv")
+
+
+def test_only_first_lines_are_headers(spark, tmp_path):
+    """A cell may hold a column's name, and a file may begin with blank lines."""
+    (tmp_path / "a.csv").write_text("\n \n\ufefftrip_id,LineNumber\n1,date\n2,trip_id\n")
+    df = read_events(spark, f"{tmp_path}/a.csv")
+    assert {(r["trip_id"], r["LineNumber"]) for r in df.collect()} == {(1, "date"), (2, "trip_id")}
+
+
+def test_bytes_read_for_headers_do_not_grow_with_the_files(spark, tmp_path):
+    """The end of a large file is damaged: whoever reads on fails."""
+    body = b"".join(b"%d,%d\n" % (i, i * 7919 % 100_003) for i in range(3_000_000))
+    data = gzip.compress(b"trip_id,date\n" + body, 1)
+    (tmp_path / "big.csv.gz").write_bytes(data[:len(data) // 2] + bytes(100_000) + data[len(data) // 2:])
+    with gzip.open(tmp_path / "small.csv.gz", "wt") as f:
+        f.write("date,trip_id\n2024,1\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    df = read_events(spark, f"{tmp_path}/*.csv.gz")
+    assert df.columns == ["trip_id", "date"] and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    with pytest.raises(Exception):
+        df.count()
 
 
 def test_static_table_with_semicolons(spark, tmp_path):
