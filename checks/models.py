@@ -47,7 +47,7 @@ MEDIANS = ["headway_ratio", "dwell", "speed_mps", "closing_speed_3", "temperatur
     f"SELECT '{c}' AS column_name, median({c}) AS median FROM ds WHERE split = 'train' AND y_k3 IS NOT NULL"
     for c in MEDIANS))
 def _(t):
-    return prepare.column_medians(t.ds.filter("split = 'train' AND y_k3 IS NOT NULL"), MEDIANS)
+    return prepare.column_medians(durable(t.ds.filter("split = 'train' AND y_k3 IS NOT NULL").select(*MEDIANS)), MEDIANS)
 
 
 SCALED = ["headway_ratio", "dwell", "speed_mps"]

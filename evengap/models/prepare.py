@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evengap.operators.select import CATEGORICAL
-from evengap.operators.skew import GROUP_ROWS, along, running
+
+SKETCH = 10_000  # values that a quantile sketch keeps: its places are off by at most rows / SKETCH
+GATHERED = 10_000
 
 
 def class_weights(df: DataFrame, y: str = "y", name: str = "w") -> DataFrame:
@@ -23,35 +25,86 @@ def class_weights(df: DataFrame, y: str = "y", name: str = "w") -> DataFrame:
     return df.withColumn(name, weight)
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], limit: int = GROUP_ROWS) -> DataFrame:
-    """Exact median of every column, as rows.
-
-    Values are counted per (column, value) and the counts summed up in value
-    order, so a column with very many distinct values is spread over tasks.
+def _narrowed(at: dict, lo: float, hi: float, less: int, low: int, within: int, high: int) -> dict:
+    """Where a place among the values of a range lies, given counts around two values ``lo <= hi`` of the range."""
+    rank = at["rank"]
+    if rank <= less:
+        return {**at, "high": lo, "n": less}
+    if rank <= less + low:
+        return {**at, "value": lo}
+    if rank <= less + low + within:
+        return {**at, "low": lo, "high": hi, "n": within, "rank": rank - less - low}
+    if rank <= less + low + within + high:
+        return {**at, "value": hi}
+    return {**at, "low": hi, "n": at["n"] - less - low - within - high, "rank": rank - less - low - within - high}
+
+
+def column_medians(df: DataFrame, columns: Sequence[str], limit: int = GATHERED) -> DataFrame:
+    """Exact median of every column, as rows; null for a column without values. NaN counts as the largest value.
+
+    Distributed selection: a quantile sketch proposes two values around the place wanted, and exact counts below, at,
+    between and above them say in which of these ranges the place lies, whether the sketch was right or not. A round
+    keeps about one value in 2,500; once a range has at most ``limit`` values they are read in order. Three scans up to
+    ``2_500 * limit`` rows and two more for every further factor of 2,500. Each scan is one aggregate over all columns,
+    combined before the shuffle, so no row is moved and a column of equal values costs no more than others. ``df`` is
+    evaluated by every scan: pass a stored table.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
-    counts = (df.select(F.explode(cells).alias("c")).select("c.*").filter(F.col("value").isNotNull())
-              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-    order = [F.col("value")]
-    counts = along(counts, ["column_name"], order, whole={"total": F.sum("n")}, limit=limit)
-    counts = running(counts, ["column_name"], order, {"upto": F.col("n")}, limit)
-    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("value")))
-    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    return counts.groupBy("column_name").agg(((at(lower) + at(upper)) / 2).alias("median"))
+    value = lambda c: F.col(c).cast("double")
+    middle = [0.5 - 2 / SKETCH, 0.5 + 2 / SKETCH]
+    row = df.agg(*[a for i, c in enumerate(columns) for a in (
+        F.count(c).alias(f"n{i}"), F.percentile_approx(value(c), middle, SKETCH).alias(f"q{i}"))]).first()
+    places = {}
+    for i, c in enumerate(columns):
+        for rank in {(row[f"n{i}"] + 1) // 2, row[f"n{i}"] // 2 + 1} if row[f"n{i}"] else ():
+            places[c, rank] = {"low": None, "high": None, "n": row[f"n{i}"], "rank": rank, "near": row[f"q{i}"]}
+
+    def within(key):
+        at, x = places[key], value(key[0])
+        kept = x.isNotNull()
+        if at["low"] is not None:
+            kept &= x > F.lit(at["low"])
+        if at["high"] is not None:
+            kept &= x < F.lit(at["high"])
+        return F.when(kept, x)
+
+    while wide := [k for k, at in places.items() if "value" not in at and at["n"] > limit]:
+        if any("near" not in places[k] for k in wide):
+            shares = {k: [min(1.0, max(0.0, places[k]["rank"] / places[k]["n"] + gap)) for gap in (-2 / SKETCH, 2 / SKETCH)]
+                      for k in wide}
+            row = df.agg(*[F.percentile_approx(within(k), shares[k], SKETCH).alias(f"q{i}") for i, k in enumerate(wide)]).first()
+            for i, k in enumerate(wide):
+                places[k]["near"] = row[f"q{i}"]
+        counts = []
+        for i, k in enumerate(wide):
+            x, lo, hi = within(k), *[F.lit(v) for v in places[k]["near"]]
+            counts += [F.count_if(x < lo).alias(f"a{i}"), F.count_if(x == lo).alias(f"b{i}"),
+                       F.count_if((x > lo) & (x < hi)).alias(f"c{i}"), F.count_if((x == hi) & (hi > lo)).alias(f"d{i}")]
+        row = df.agg(*counts).first()
+        for i, k in enumerate(wide):
+            lo, hi = places[k].pop("near")
+            places[k] = _narrowed(places[k], lo, hi, *[row[f"{part}{i}"] for part in "abcd"])
+    if few := [k for k, at in places.items() if "value" not in at]:
+        row = df.agg(*[F.sort_array(F.collect_list(within(k))).alias(f"v{i}") for i, k in enumerate(few)]).select(
+            *[F.get(f"v{i}", F.lit(places[k]["rank"] - 1)).alias(f"v{i}") for i, k in enumerate(few)]).first()
+        for i, k in enumerate(few):
+            places[k]["value"] = row[f"v{i}"]
+    found = {c: [at["value"] for (name, _), at in places.items() if name == c] for c in columns}
+    return df.sparkSession.createDataFrame([(c, min(v) / 2 + max(v) / 2 if len(v) > 1 else v[0] if v else None)
+                                            for c, v in found.items()], "column_name string, median double")
 
 
 def _number(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
-def scaling(train: DataFrame, columns: Sequence[str], limit: int = GROUP_ROWS) -> list[dict]:
+def scaling(train: DataFrame, columns: Sequence[str], limit: int = GATHERED) -> list[dict]:
     """Per output column: source, whether it is a missing indicator, fill value, mean and population deviation.
 
     Indicators exist for the columns with missing values in the fitting rows.
     """
     medians = {r["column_name"]: r["median"] for r in column_medians(train, columns, limit).collect()}
     gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    outputs = [{"name": c, "source": c, "indicator": False, "fill": medians.get(c, 0.0)} for c in columns]
+    outputs = [{"name": c, "source": c, "indicator": False, "fill": 0.0 if medians[c] is None else medians[c]} for c in columns]
     outputs += [{"name": f"{c}_missing", "source": c, "indicator": True, "fill": None} for c in columns if gaps[c]]
     value = lambda o: (F.col(o["source"]).isNull().cast("double") if o["indicator"]
                        else F.coalesce(F.col(o["source"]).cast("double"), F.lit(float(o["fill"]))))
@@ -63,7 +116,7 @@ def scaling(train: DataFrame, columns: Sequence[str], limit: int = GROUP_ROWS) -
 
 
 def fit_preprocess(train: DataFrame, columns: Sequence[str], scale: bool = True,
-                   limit: int = GROUP_ROWS) -> PipelineModel:
+                   limit: int = GATHERED) -> PipelineModel:
     """Median fill, missing indicators, standardising and one-hot encoding, as one savable pipeline.
 
     A category unseen in the fitting rows becomes all zeros.

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -34,6 +35,35 @@ def test_medians_are_exact(rows, limit):
     assert got["headway_ratio"] == pytest.approx(pdf["headway_ratio"].median(), abs=1e-15)
 
 
+@pytest.mark.parametrize("limit, sketch", [(2, 10_000), (2, 40), (10_000, 10_000)])
+def test_medians_of_odd_columns(spark, limit, sketch, monkeypatch):
+    """Ties on both sides of the middle, infinities, a wide range, one value, none, and a sketch that is far off."""
+    monkeypatch.setattr(prepare, "SKETCH", sketch)
+    rng = np.random.default_rng(5)
+    n = 600
+    columns = {
+        "ties": [1.0] * 300 + [2.0] * 300, "three": list(rng.integers(0, 3, n).astype(float)), "same": [4.0] * n,
+        "wide": list(10.0 ** rng.uniform(-300, 300, n)), "sparse": [float(i) if i % 50 == 0 else None for i in range(n)],
+        "none": [None] * n, "ends": [float("-inf")] * 200 + [5.0] + [7.0] * 199 + [float("inf")] * 200,
+        "whole": list(range(n)), "one": [3.5] + [None] * (n - 1)}
+    pdf = pd.DataFrame(columns)
+    df = spark.createDataFrame([tuple(None if x is None else float(x) for x in r) for r in zip(*columns.values())],
+                               ", ".join(f"{c} double" for c in columns)).repartition(5)
+    want = {c: None if pdf[c].count() == 0 else float(pdf[c].median()) for c in columns}
+    got = {r["column_name"]: r["median"] for r in prepare.column_medians(df, list(columns), limit).collect()}
+    assert got == {c: pytest.approx(v, rel=1e-15) if v is not None else None for c, v in want.items()}
+
+
+def test_medians_take_three_scans(spark):
+    df = spark.range(200_000).selectExpr("cast(hash(id) AS double) AS a", "id % 3 AS b", "null AS c")
+    spark.sparkContext.setJobGroup("medians", "")
+    got = prepare.column_medians(df, ["a", "b", "c"])
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("medians")) <= 6  # an aggregate is at most two jobs
+    want = df.agg(F.median("a"), F.median("b")).first()
+    assert [r["median"] for r in got.collect()] == [*want, None]
+
+
 def test_preparation(rows):
     model = prepare.fit_preprocess(rows, COLUMNS)
     unseen = rows.limit(1).withColumn("LineNumber", F.lit("new"))
