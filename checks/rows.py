@@ -8,8 +8,10 @@ from checks.base import KEY, check, scratch
 from evengap import HORIZONS
 from evengap import functions as fx
 from evengap.operators import describe, enrich, features, headway, select
+from evengap.operators.skew import durable
 from evengap.plans import bus_subset, sequence_statistics, standardize_sequence
-from evengap.sources import append_results, pending, read_events, read_static, read_table, write_table
+from evengap.sources import (append_results, compact_results, pending, read_events, read_results, read_static, read_table,
+                             write_clustered, write_table)
 
 K = " ".join
 TARGETS = K(f"y_k{k}:i target_valid_k{k}:b" for k in HORIZONS)
@@ -76,6 +78,16 @@ def _(t):
     return pending(trials.select("model", "k", "name"), path)
 
 
+@check("s05_ledger", "model:s k:i name:s value:f", "SELECT model, k, name, value FROM ledger", ledger=LEDGER_SQL)
+def _(t):
+    """A ledger in which one line's trials were stored twice, the first time with another result, and then compacted."""
+    path, trials, keys = f"{scratch(t.spark)}/ledger", durable(_trials(t)), ("model", "k", "name")
+    append_results(trials.filter("model = '4'").withColumn("value", F.lit(-1.0)), path)
+    append_results(trials, path)
+    compact_results(t.spark, path, f"{path}-whole", keys)
+    return read_results(t.spark, f"{path}-whole", keys)
+
+
 @check("u01_union_by_name", KEY + "LineNumber:s shape_id:s",
        "SELECT date, trip_id, stop_sequence, LineNumber, CASE WHEN direction_id = 1 THEN shape_id END AS shape_id "
        "FROM trip_stop")
@@ -461,6 +473,15 @@ def _(t):
     return features.sequence_frame(t.hw)
 
 
+@check("w14_sequence_clustered", KEY + SEQUENCE, "SELECT * FROM seq")
+def _(t):
+    """From headways that are stored in buckets of the trip."""
+    path = scratch(t.spark)
+    stage = write_clustered(t.hw, f"{path}/headways", "stage_" + path.rsplit("-", 1)[-1].replace("_", "0"),
+                            ["date", "trip_id"], ["stop_sequence"], buckets=64)
+    return features.sequence_frame(stage)
+
+
 @check("w14_sequence_packed", KEY + "steps:i first_dwell:f last_ratio:f",
        "SELECT *, 6 AS steps, dw_0 AS first_dwell, hr_5 AS last_ratio FROM seq")
 def _(t):

@@ -1,5 +1,7 @@
 from evengap.sources.readers import EVENT_TYPES, read_events, read_static, read_table
-from evengap.sources.sinks import append_results, pending, results_wide, write_report, write_table
+from evengap.sources.sinks import (append_results, compact_results, open_clustered, pending, read_results, results_wide,
+                                   write_clustered, write_report, write_table)
 
-__all__ = ["EVENT_TYPES", "append_results", "pending", "read_events", "read_static", "read_table", "results_wide",
-           "write_report", "write_table"]
+__all__ = ["EVENT_TYPES", "append_results", "compact_results", "open_clustered", "pending", "read_events",
+           "read_results", "read_static", "read_table", "results_wide", "write_clustered", "write_report",
+           "write_table"]

@@ -3,10 +3,11 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from evengap.operators import describe, select
-from evengap.plans import bus_subset
-from evengap.sources import (append_results, pending, read_events, read_static, read_table, results_wide, write_report,
-                             write_table)
+from events import events, trip
+from evengap.operators import describe, features, select
+from evengap.plans import bus_subset, headways
+from evengap.sources import (append_results, compact_results, open_clustered, pending, read_events, read_results,
+                             read_static, read_table, results_wide, write_clustered, write_report, write_table)
 
 
 def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
@@ -106,6 +107,39 @@ def test_ledger_is_taken_up_again(spark, tmp_path):
     assert describe.best_by(spark.read.parquet(path), ["model", "k"], "value").first()["name"] == "b"
 
 
+def test_a_trial_that_is_stored_twice_counts_once(spark, tmp_path):
+    row = lambda name, value, k=3: spark.createDataFrame([("gbt", k, name, "auc", value)],
+                                                          "model string, k int, name string, metric string, value double")
+    for name, value, k in (("a", 0.9, 3), ("b", 0.7, 3), ("a", 0.5, 3), ("c", 0.1, None), ("c", None, None)):
+        append_results(row(name, value, k), f"{tmp_path}/ledger")
+    want = [("a", 3, 0.5), ("b", 3, 0.7), ("c", None, None)]
+    got = read_results(spark, f"{tmp_path}/ledger").orderBy("name").collect()
+    assert [(r["name"], r["k"], r["value"]) for r in got] == want
+    compact_results(spark, f"{tmp_path}/ledger", f"{tmp_path}/whole")
+    assert len(list((tmp_path / "whole").glob("*.parquet"))) == 1
+    got = read_results(spark, f"{tmp_path}/whole").orderBy("name").collect()
+    assert [(r["name"], r["k"], r["value"]) for r in got] == want
+
+
+def test_windows_over_a_clustered_stage_need_no_exchange(spark, tmp_path):
+    hw = headways(events(spark, *[trip(i, 30000 + 600 * i, [30000 + 600 * i + 70 * j for j in range(12)]) for i in range(9)]))
+    options = ("stage_hw", ["date", "trip_id"], ["stop_sequence"], 8)
+    stage = write_clustered(hw, f"{tmp_path}/hw", *options)
+    assert stage.columns == hw.columns and stage.exceptAll(hw).isEmpty() and hw.exceptAll(stage).isEmpty()
+    builders = [features.with_history, features.with_targets, features.with_long_lags, features.with_sched_run,
+                features.sequence_frame]
+    for opened in (stage, None):
+        if opened is None:
+            spark.sql("DROP TABLE stage_hw")  # the files stay
+            opened = open_clustered(spark, f"{tmp_path}/hw", *options)
+        for build in builders:
+            frame = build(opened)
+            assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString(), build.__name__
+            assert frame.exceptAll(build(hw)).isEmpty() and frame.count() == 108
+    look = opened.groupBy("date", "trip_id").count()  # the look-up of large groups
+    assert "Exchange" not in look._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wide_results(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.2), (2, "a", 0.3)], "k int, model string, v double")
     wide = results_wide(df, "v", values=["a", "b"]).orderBy("k")
