@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from evengap.functions import ratio, safe_div
 from evengap.operators.resample import bootstrap_ci
 from evengap.operators.select import is_peak
-from evengap.operators.skew import GROUP_ROWS, LOOK, along, large_groups, running, same_keys
+from evengap.operators.skew import GROUP_ROWS, LOOK, along, durable, large_groups, running, same_keys
 from evengap.roles import DEFAULT, HORIZONS, Roles
 
 By = Sequence[str]
@@ -31,6 +31,7 @@ def score_cuts(scored: DataFrame, by: By = ("k",), weight: str | None = None, sc
     w = F.lit(1) if weight is None else F.col(weight)
     counts = scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(w * F.col("y")).alias("pos"), F.sum(w * (1 - F.col("y"))).alias("neg"))
+    counts = durable(counts)  # the look-up and both passes read it, and the scored rows are evaluated once
     order = [F.col("score").desc_nulls_last()]
     totals = {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")}
     hot = large_groups(counts, list(by), limit) if by else LOOK
