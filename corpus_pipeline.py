@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, by five-word Jaccard of at least 0.8: the one of the smallest id."""
+    """One document of each component of near copies, by five-word Jaccard of at least 0.8 of what SimHash fingerprints
+    and MinHash bands propose: the one of the smallest id."""
     ship(spark)
     return simhash.keep_first(docs, like=LIKENESS).select(*COLUMNS)
 

@@ -125,7 +125,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, like: float) -> DataFrame:
             some = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some)], names=["a", "b"])
 
-    own = nodes.select("fp", "marks")
+    own = nodes.where("size > 0").select("fp", "marks")
     both = (pairs.join(own.withColumnsRenamed({"fp": "a", "marks": "x"}), "a").join(own.withColumnsRenamed({"fp": "b", "marks": "y"}), "b"))
     return both.select("a", "b", "x", "y").mapInArrow(kept, "a long, b long")
 
@@ -222,11 +222,11 @@ def unconnected(rows: DataFrame, nodes: DataFrame, like: float, nearest: bool) -
     return dealt.mapInArrow(met, "a long, b long").distinct()
 
 
-def links(found: DataFrame, like: float = LIKE, width: int = WIDTH) -> DataFrame:
-    """Links (a, b) that connect all fingerprints whose sets share a band and are alike to the threshold.
+def links(found: DataFrame, like: float = LIKE, width: int = WIDTH, candidates: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints whose sets share a band, or are candidates, and are alike to the threshold.
 
     First all nodes of a band are held against its smallest fingerprint, so a large group of near copies costs a few pairs
-    a node. Then nodes of a band that are not connected: each against the likeliest of every other component there, and
+    a node, and candidates (a, b) from elsewhere against each other. Then nodes of a band that are not connected: each against the likeliest of every other component there, and
     what is still apart after that against all that may be alike.
     """
     nodes = stored(found.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("marks").alias("marks")), "nodes")
@@ -235,6 +235,8 @@ def links(found: DataFrame, like: float = LIKE, width: int = WIDTH) -> DataFrame
             .where("low.fp < high").select("key", F.col("low.fp").alias("c"), F.col("low.size").alias("s")))
     rows = stored(rows.join(ends, "key"), "banded")
     stars = rows.where("fp <> c").where(fits("size", "s", like)).select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct()
+    if candidates is not None:
+        stars = stars.unionByName(candidates).distinct()
     tested = stored(possible(stars, nodes, like), "stars")
     near = stored(verified(tested, found, like, width), "near")
     for nearest in (True, False):

@@ -167,10 +167,23 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", widt
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def candidates(found: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (a, b) of shingle sets, given with their texts as (text, fp), whose SimHash fingerprints connect them: each set
+    of a fingerprint with the smallest one, and the smallest ones along the links within the radius."""
+    texts = found.select(F.lit(None).cast("long").alias("id"), "text", F.col("fp").alias("shingles"))
+    prints = stored(fingerprints(texts, id="id", also=("shingles",)).select("shingles", "fp").distinct(), "fingerprints")
+    heads = prints.groupBy("fp").agg(F.min("shingles").alias("head"))
+    first, second = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    across = links(heads.select("fp"), radius).join(first, "a").join(second, "b").select("head_a", "head_b")
+    pairs = prints.join(heads, "fp").select("shingles", "head").union(across).toDF("a", "b").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = 3, like: float | None = None) -> DataFrame:
     """One row of each component: that of the smallest id, and of several such rows the one of the smallest text hash.
 
-    like: link texts whose five-word shingles have at least this Jaccard likeness, instead of fingerprints within the radius.
+    like: link texts whose five-word shingles have at least this Jaccard likeness. Candidates are the links of fingerprints
+    within the radius and MinHash bands; the shingles themselves decide on both.
     Rows without an id are compared too, but stay only where their component has no id at all. Of rows that are alike in
     id and text any one stays. All columns are kept; an empty table gives no rows.
     """
@@ -183,7 +196,7 @@ def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radiu
     else:
         whole = marked.select(F.col(id).alias("doc_id"), name, own, F.col(text).alias("text"))
         fps = stored(likeness.sets(whole, "text", ["doc_id", name, own]), "sets")
-        roots = components(likeness.links(fps, like)).withColumnRenamed("node", "fp")
+        roots = components(likeness.links(fps, like, candidates=candidates(fps, radius))).withColumnRenamed("node", "fp")
     # equal rows, then equal fingerprints, are summed before the components meet them
     rows = fps.groupBy("fp", "doc_id", name, own).agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", own, name, "n")).alias("x")

@@ -4,9 +4,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evengap.llm import contamination, simhash
+from evengap.llm import contamination, likeness, simhash
 from evengap.llm.queries import QUERIES, SQL, table
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,16 @@ def test_no_texts_of_jaccard_above_the_threshold_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert len(want) < len(rows) and sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_fingerprints_propose_near_copies(spark):
+    """Without any band, the links of SimHash fingerprints still find a near copy; the shingles decide on them."""
+    words = [f"w{i * i % 997}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "new"]), " ".join(words[:40]), "", None]
+    sets = likeness.sets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string"), "text", ["id"])
+    sets = sets.withColumn("keys", F.array().cast("array<long>")).cache()
+    a, b = sorted(r.fp for r in sets.where("id < 2").collect())
+    pairs = simhash.candidates(sets)
+    assert likeness.links(sets).count() == 0
+    assert [tuple(r) for r in likeness.links(sets, candidates=pairs).collect()] == [(a, b)]
+    assert likeness.links(sets, 0.999, candidates=pairs).count() == 0
