@@ -56,6 +56,13 @@ def test_large_groups_are_found(rows):
     assert [r["g"] for r in skew.large_groups(rows, ["g"], 500).collect()] == ["hot"]
 
 
+def test_the_last_key_is_evaluated_in_large_groups_only(spark):
+    df = spark.range(1000).selectExpr("id % 4 AS a", "if(id = 3, null, id % 8) AS b", "raise_error('evaluated') AS c")
+    assert skew.large_groups(df, ["a", "c"], 250) is None
+    half = spark.range(1000).selectExpr("if(id % 4 = 3, null, id % 4) AS a", "if(id % 4 = 3, 7, id) AS b")
+    assert [(r.a, r.b) for r in skew.large_groups(half, ["a", "b"], 249).collect()] == [(None, 7)]
+
+
 def test_a_large_group_is_found_in_a_small_file(spark, tmp_path):
     """Equal rows take little room: the size of the files says nothing of the groups."""
     spark.range(skew.GROUP_ROWS + 10).selectExpr("if(id < 5, 1, 2) AS g").write.parquet(str(tmp_path / "t"))
