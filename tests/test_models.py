@@ -204,3 +204,16 @@ def test_a_failed_trial_leaves_the_others_recorded(spark, rows, tmp_path):
     with pytest.raises(ValueError, match="no trial"):
         search._recorded(spark, configs, run, 3, "gbt", f"{tmp_path}/ledger", at_once=1)
     assert [r["name"] for r in spark.read.parquet(f"{tmp_path}/ledger").collect()] == ["a"]
+
+
+def test_feature_sets_share_bins(rows, monkeypatch):
+    """Every set scores as a model of its own does, though the rows are binned once."""
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    sets = {"all": COLUMNS, "some": ["LineNumber", "headway_ratio"]}
+    params = {"max_iter": 3, "max_depth": 2, "min_samples_leaf": 5}
+    want = {s: fit.pr_auc(fit.fit_gbt(train, c, params, val), val) for s, c in sets.items()}
+    binned, original = [], fit.fit_bins
+    monkeypatch.setattr(fit, "fit_bins", lambda *a: binned.append(a) or original(*a))
+    monkeypatch.setattr(search, "feature_set", sets.get)
+    found = search.screen_features(train, val, 3, params, list(sets)).collect()
+    assert {r["name"]: r["value"] for r in found} == pytest.approx(want) and len(binned) == 1
