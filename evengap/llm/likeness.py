@@ -2,8 +2,9 @@
 
 The bits of two SimHash fingerprints differ in about 15 % of their places where five-word Jaccard is 0.8, some ten of 64,
 and covering masks for that many are too many. Texts of one shingle set are one node. Nodes that share a band are held
-against the smallest of it, then nodes of a band that are not connected yet against each other. A byte of each of 96 minima
-tells first whether two sets can be alike at all; only pairs that can are compared shingle by shingle.
+against the smallest of it, then nodes of a band that are not connected yet against each other, in tasks that give out a
+spanning forest of links and no pairs. A byte of each of 96 minima tells first whether two sets can be alike at all; only
+pairs that can are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ BANDS, ROWS = 24, 4
 _RNG = np.random.default_rng(11)
 TURN = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 ODD = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-#: Partners of a set in one task, and nodes of a band in one part.
-PARTNERS, PART = 200, 2048
+#: Partners of a set in one task; nodes of a band in one part, and about how many shingles they have.
+PARTNERS, PART, SHINGLES = 200, 2048, 1_000_000
+#: Shingles whose bits are counted at once.
+COLUMNS = 8192
 STEP, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -168,83 +171,159 @@ def verified(pairs: DataFrame, found: DataFrame, like: float, width: int) -> Dat
             .mapInArrow(compared, "a long, b long"))
 
 
-def unconnected(rows: DataFrame, nodes: DataFrame, like: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of a band that may be alike and have different roots; rows: (key, fp, root).
+def runs(batches, names: int) -> Iterator[pa.Table]:
+    """Neighbouring rows that agree in their first columns; what a batch ends with may go on in the next."""
+    held, last = [], None
+    for batch in batches:
+        if batch.num_rows:
+            heads = np.stack([batch.column(i).to_numpy() for i in range(names)], axis=1)
+            cuts = [0, *(np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                head = heads[a].tolist()
+                if held and head != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = head
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def alike(cell: pa.Table, like: float, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of a cell's pairs whose sizes and marks agree often enough, some hundred i at a time.
 
-    nearest: of every node only the most alike of every other root. A band of many nodes is cut into parts, and each pair
-    of parts is a task's work; what leaves it are pairs whose marks agree, not all.
+    Pairs of one value of `apart`, which may change between the steps, are left out, and so are pairs that share a band
+    before this one, whose cell has them.
     """
-    least = least_agreement(like)
-    bounds = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    rows = rows.join(bounds.where("low < high").select("key", "parts"), "key")
+    key, first = cell.column(0)[0].as_py(), cell.column(1)[0].as_py()
+    n, cut, least = cell.num_rows, 0, least_agreement(like)
+    if first != cell.column(2)[0].as_py():
+        cut = int((cell.column(3).to_numpy() == first).sum())
+        if cut in (0, n):
+            return
+    size = cell.column("size").to_numpy()
+    own = np.frombuffer(b"".join(cell.column("marks").to_pylist()), np.uint8).reshape(n, -1)
+    keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    for at in range(0, cut or n, 256):
+        left = slice(at, min(at + 256, cut or n))
+        right = slice(cut or at, None)
+        small, large = np.minimum(size[left, None], size[right]), np.maximum(size[left, None], size[right])
+        ok = (apart[left, None] != apart[right]) & (small >= like * large - 1e-9)
+        if not cut:
+            ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])
+        if ok.any():
+            i, j = np.nonzero(ok & (agree(own[left], own[right]) >= least))
+            i, j = i + left.start, j + right.start
+            common = keys[i] == keys[j]
+            here = keys[i, common.argmax(axis=1)] == key
+            yield i[here], j[here]
+
+
+def shared(sets: list[np.ndarray]):
+    """A function of places (i, j) that counts what sets i and j have in common, by bits of what several sets hold."""
+    whole, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = n > 1
+    kept, number = several[place], np.cumsum(several) - 1
+    owner, place = owner[kept], number[place[kept]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+
+    def counted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        for at in range(0, int(several.sum()), COLUMNS):
+            a, b = np.searchsorted(place, [at, at + COLUMNS])
+            bits = np.zeros((len(sets), COLUMNS), bool)
+            bits[owner[a:b], place[a:b] - at] = True
+            words = np.packbits(bits, axis=1).view(np.uint64)
+            for c in range(0, len(i), 20_000):
+                d = slice(c, c + 20_000)
+                out[d] += np.bitwise_count(words[i[d]] & words[j[d]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    return counted
+
+
+def unconnected(rows: DataFrame, nodes: DataFrame, found: DataFrame, like: float, width: int) -> DataFrame:
+    """Links (a, b) that connect those nodes of a band that are alike and have different roots; rows: (key, fp, size, root).
+
+    A band of many nodes is cut into parts, and each pair of parts is a task's work. The marks tell which nodes may be alike
+    to any other there, and only these are sent again, with their texts. All their pairs that may be alike are compared by
+    shingles where they meet, and only a spanning forest of the links leaves the task, so no row is made for a pair.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / SHINGLES)).cast("int")
+    bounds = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), parts.alias("parts"))
+    rows = rows.drop("size").join(bounds.where("low < high").select("key", "parts"), "key")
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
         F.least("part", j).alias("i"), F.greatest("part", j).alias("j"))))
     dealt = (rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("cell", cell)
-             .join(nodes.select("fp", "size", "marks"), "fp").select("key", "cell.i", "cell.j", "part", "fp", "root", "size", "marks")
-             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "fp"))
-
-    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        cut = 0
-        if held[0][1] != held[0][2]:
-            cut = sum(r[3] == held[0][1] for r in held)
-            if cut in (0, len(held)):
-                return
-        fp, root, size = (np.array([r[k] for r in held], np.int64) for k in (4, 5, 6))
-        own = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), -1)
-        right = slice(cut, None)
-        for at in range(0, cut or len(held), 256):
-            left = slice(at, min(at + 256, cut or len(held)))
-            same = agree(own[left], own[right])
-            small, large = np.minimum(size[left, None], size[right]), np.maximum(size[left, None], size[right])
-            ok = (same >= least) & (root[left, None] != root[right]) & (small >= like * large - 1e-9)
-            if not cut:
-                ok &= np.arange(left.start, left.stop)[:, None] < np.arange(len(held))
-            i, j = np.nonzero(ok)
-            if nearest and len(i):
-                order = np.lexsort((-same[i, j].astype(int), root[right][j], i))
-                i, j = i[order], j[order]
-                first = np.concatenate([[True], (i[1:] != i[:-1]) | (root[right][j[1:]] != root[right][j[:-1]])])
-                i, j = i[first], j[first]
-            a, b = fp[left][i], fp[right][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def met(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    yield from pairs(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from pairs(held)
-
-    return dealt.mapInArrow(met, "a long, b long").distinct()
+             .join(nodes.select("fp", "size", "marks", "keys"), "fp")
+             .select("key", "cell.i", "cell.j", "part", "fp", "root", "size", "marks", "keys"))
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "fp")
+
+    def promising(batches):
+        ready, n = [], 0
+        for cell in runs(batches, 3):
+            some = np.zeros(cell.num_rows, bool)
+            for i, j in alike(cell, like, cell.column("root").to_numpy()):
+                some[i] = some[j] = True
+            if some.any():
+                ready.append(cell.filter(pa.array(some)))
+                n += ready[-1].num_rows
+            if n >= 1000:
+                yield from pa.concat_tables(ready).combine_chunks().to_batches()
+                ready, n = [], 0
+        if ready:
+            yield from pa.concat_tables(ready).combine_chunks().to_batches()
+
+    def linked(batches):
+        forget_all()
+        for cell in runs(batches, 3):
+            fp, root = cell.column("fp").to_numpy(), cell.column("root").to_numpy().copy()
+            own = [shingles(t.encode(), width) for t in cell.column("text").to_pylist()]
+            size, common, out = np.array([len(s) for s in own]), shared(own), []
+            for i, j in alike(cell, like, root):
+                both = common(i, j)
+                close = both >= like * (size[i] + size[j] - both) - 1e-9
+                i, j = i[close], j[close]
+                for x, ys in zip(*grouped(i, j)):
+                    ys = ys[root[ys] != root[x]]
+                    while len(ys):
+                        out.append((min(fp[x], fp[ys[0]]), max(fp[x], fp[ys[0]])))
+                        root[root == root[ys[0]]] = root[x]
+                        ys = ys[root[ys] != root[x]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    some = stored(together(dealt).mapInArrow(promising, dealt.schema), "promising")
+    texts = found.select("fp", "text").join(some.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+    return together(some.join(texts, "fp").select(*some.columns, "text")).mapInArrow(linked, "a long, b long").distinct()
+
+
+def grouped(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different values of a sorted i, and the j of each."""
+    values, begin = np.unique(i, return_index=True)
+    return values, np.split(j, begin[1:])
 
 
 def links(found: DataFrame, like: float = LIKE, width: int = WIDTH, candidates: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints whose sets share a band, or are candidates, and are alike to the threshold.
 
     First all nodes of a band are held against its smallest fingerprint, so a large group of near copies costs a few pairs
-    a node, and candidates (a, b) from elsewhere against each other. Then nodes of a band that are not connected: each against the likeliest of every other component there, and
-    what is still apart after that against all that may be alike.
+    a node, and candidates (a, b) from elsewhere against each other. Then the other nodes of a band that are not connected
+    meet in tasks of their own.
     """
     nodes = stored(found.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("marks").alias("marks")), "nodes")
     rows = nodes.select("fp", "size", F.explode("keys").alias("key"))
     ends = (rows.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("low"), F.max("fp").alias("high"))
             .where("low.fp < high").select("key", F.col("low.fp").alias("c"), F.col("low.size").alias("s")))
-    rows = stored(rows.join(ends, "key"), "banded")
-    stars = rows.where("fp <> c").where(fits("size", "s", like)).select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct()
+    rows = stored(rows.join(ends, "key"), "banded").where("fp <> c")
+    stars = rows.where(fits("size", "s", like)).select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct()
     if candidates is not None:
         stars = stars.unionByName(candidates).distinct()
-    tested = stored(possible(stars, nodes, like), "stars")
-    near = stored(verified(tested, found, like, width), "near")
-    for nearest in (True, False):
-        roots = components(near).withColumnRenamed("node", "fp")
-        placed = rows.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        more = stored(unconnected(placed, nodes, like, nearest).join(tested, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            break
-        near = stored(near.unionByName(verified(more, found, like, width)), "near")
-        tested = stored(tested.unionByName(more), "tested")
-    return near
+    near = stored(verified(stored(possible(stars, nodes, like), "stars"), found, like, width), "near")
+    roots = components(near).withColumnRenamed("node", "fp")
+    placed = rows.select("key", "fp", "size").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return stored(near.unionByName(unconnected(placed, nodes, found, like, width)), "near")

@@ -434,6 +434,39 @@ def test_unlike_texts_of_one_passage(spark, monkeypatch):
     assert sum(compared) <= 300
 
 
+def test_texts_just_below_the_threshold(spark, monkeypatch):
+    """Texts of Jaccard 0.77 to each other can't be told apart by marks; no row is made for a pair of them, and no link is lost."""
+    from evengap.llm import likeness
+
+    rng = np.random.default_rng(9)
+    common = " ".join(f"common{i}" for i in range(200))
+    texts = [common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 30)) for _ in range(150)]
+    texts += [t.rsplit(" ", 2)[0] for t in texts[100:]]  # a near copy each of 50
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared, own = [], likeness.verified
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return own(pairs, *args)
+
+    monkeypatch.setattr(likeness, "verified", counted)
+    monkeypatch.setattr(likeness, "PART", 32)
+    found = likeness.sets(rows, "text", ["doc_id"])
+    of = dict(found.select("fp", "doc_id").collect())
+    pairs = {tuple(sorted((of[r.a], of[r.b]))) for r in likeness.links(found).collect()}
+    assert pairs == {(100 + i, 150 + i) for i in range(50)}
+    assert sum(compared) <= 10 * len(texts)
+
+
+def test_shared_counts():
+    from evengap.llm import likeness
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 30_000, n)).astype(np.uint64) for n in (1, 5_000, 9_000, 20_000, 20_000, 3)]
+    i, j = np.triu_indices(len(sets), 1)
+    assert likeness.shared(sets)(i, j).tolist() == [np.intersect1d(sets[a], sets[b]).size for a, b in zip(i, j)]
+
+
 def test_chains_in_a_band(spark):
     """Each text is alike to the next only, and all are one component; what joins no chain stays."""
     words = [f"w{i}" for i in range(400)]
