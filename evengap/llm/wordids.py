@@ -8,11 +8,16 @@ can't be cut safely is encoded whole.
 from __future__ import annotations
 
 import itertools
+import json
 
 import numpy as np
 
 KEPT: dict[tuple, "WordIds"] = {}
 UNSAFE = -2
+#: What a file may do to a text before it is cut, none of which changes lower-case Latin-1 letters or spaces between them.
+IDLE = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+LETTERS = "[\\p{L}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def encoder(path: str, spaced: bool) -> "WordIds":
@@ -25,7 +30,7 @@ def encoder(path: str, spaced: bool) -> "WordIds":
 class WordIds:
     """spaced: a word's leading space is part of it (byte-level files); else white space only separates."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 350_000):
+    def __init__(self, path: str, spaced: bool, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
@@ -36,7 +41,8 @@ class WordIds:
         if not spaced and any(x.endswith("</w>") for x in vocabulary):
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.folds = not spaced and self.whole("Ab").tolist() == self.whole("ab").tolist()  # the file ignores case
+        self.folds = not spaced and self.whole("Ab ÀÖØÞ").tolist() == self.whole("ab àöøþ").tolist()  # the file ignores case
+        self.plain = self.library if self.ends is None else self.for_letters() or self.library
         self.signs = {x: int(ids[0]) for x, ids in signs.items() if len(ids) == 1}
         self.age()
         self.age()
@@ -51,10 +57,30 @@ class WordIds:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def for_letters(self):
+        """The library's model with no more before it than lower-case letters between spaces need, if the file allows it."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        rules = json.loads(self.library.to_str())
+        before, cut = rules["normalizer"] or {}, (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if any(x not in IDLE for x in before.get("normalizers", [before] if before else [])) or len(cut) != 2:
+            return None
+        runs, inner = cut
+        if (runs["type"], runs.get("invert"), runs.get("behavior")) != ("Split", True, "Removed"):
+            return None
+        # other rules before the one of letters all begin with a sign
+        ahead, found, _ = runs["pattern"].get("Regex", "").partition(LETTERS)
+        if not found or any(x[0] != "'" for x in ahead.split("|") if x) or inner != BYTES:
+            return None
+        plain = Tokenizer(self.library.model)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or nothing if it can't be cut safely."""
         if not self.spaced:
-            return (text.lower() if self.folds and text.isascii() else text).replace("\n", " ").split(" ")
+            return (text.lower() if self.folds and latin(text) else text).replace("\n", " ").split(" ")
         if "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -117,11 +143,17 @@ class WordIds:
         pieces are told by their offsets.
         """
         if self.ends is not None:
-            one = [w.isalpha() and (w.isascii() or w.lower().isalpha()) for w in words]
-            letters, words = list(itertools.compress(words, one)), [w for w, x in zip(words, one) if not x]
+            one = np.fromiter(map(str.isalpha, words), bool, len(words))
+            letters, words = list(itertools.compress(words, one)), list(itertools.compress(words, ~one))
             for i in range(0, len(letters), 500):
                 part = letters[i:i + 500]
-                ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                text = " ".join(part)
+                library = self.plain if latin(text) and text.lower() == text else self.library
+                if library is self.library and not text.isascii():
+                    words += [w for w in part if not w.lower().isalpha()]
+                    part = [w for w in part if w.lower().isalpha()]
+                    text = " ".join(part)
+                ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
                 ends = np.flatnonzero(self.ends[ids])
                 if len(ends) == len(part):
                     self._keep(part, ids, np.diff(ends, prepend=-1))
@@ -168,8 +200,8 @@ class WordIds:
         at[at == UNSAFE] = 0
         length = self.length[at]
         total = int(length.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-        ids = self.pool[np.repeat(self.start[at], length) + inside]
+        begin = self.start[at] - np.cumsum(length) + length
+        ids = self.pool[np.repeat(begin, length) + np.arange(total)]
         counts = np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64)
         if odd:
             ends = np.cumsum(counts)
@@ -179,6 +211,17 @@ class WordIds:
         return ids, counts
 
 
+def latin(text: str) -> bool:
+    """Whether a text holds Latin-1 only, whose letters all have the one lower case that the library gives them."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def forget_all() -> None:
     """Free what encoders keep in this worker: other operators call it, since workers are used again."""
     KEPT.clear()

@@ -537,3 +537,18 @@ def test_one_doubled_letter_is_decided_as_by_viterbi(word, at):
     restorer = Restorer(language_model([(int(c), int(counts[c])) for c in np.flatnonzero(counts)]))
     word = word[:at] + word[at:at + 1] + word[at:]
     assert restorer.word(word)[:2] == tuple(dict.fromkeys([word, d.restore(word, restorer.model)])) or len(d.TWICE.findall(word)) != 1 or d.TWICE.search(word).end() - d.TWICE.search(word).start() > 2
+
+
+
+def test_letters_of_latin_texts_are_folded_and_encoded_plainly():
+    """Latin-1 texts are folded like ASCII ones, their words go to the model alone, and the ids stay the library's."""
+    path = tokenizer("word_bpe_49k.json")
+    ids = wordids.WordIds(path, False)
+    assert ids.plain is not ids.library
+    assert ids.pieces("Ä Straße\nÉTÉ") == ["ä", "straße", "été"] and ids.pieces("Ä Łódź") == ["Ä", "Łódź"]
+    texts = ["Übergröße, ÄRGER. ªº µm naïve Łódź İstanbul e\u0301te\u0301 ÷×", "don't l'été 3,5 ÿ ŸÿÞþ " + "".join(map(chr, range(32, 256))),
+             "\u212bngstrom K\u212a ﬁne ǅ", "plain words only", ""]
+    for some in (texts, *([t] for t in texts), [t.lower() for t in texts], [" ".join(texts)]):
+        got, counts = ids(some)
+        want = [ids.whole(t).tolist() for t in some]
+        assert counts.tolist() == [len(w) for w in want] and got.tolist() == [x for w in want for x in w]
