@@ -11,6 +11,8 @@ import itertools
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KEPT: dict[tuple, "WordIds"] = {}
 UNSAFE = -2
@@ -37,7 +39,10 @@ class WordIds:
         self.library.encode_special_tokens = True
         signs = {x: self.whole(x) for x in ".,"}
         vocabulary = self.library.get_vocab()
-        self.ends = None
+        self.ends = self.begins = None
+        if spaced and any(x.startswith("Ġ") for x in vocabulary):  # as byte-level files write a space
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True
         if not spaced and any(x.endswith("</w>") for x in vocabulary):
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -77,13 +82,36 @@ class WordIds:
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         return plain
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text, or nothing if it can't be cut safely."""
+    def ready(self, text: str) -> str | None:
+        """A text as it is cut, or nothing if it can't be cut safely."""
         if not self.spaced:
-            return (text.lower() if self.folds and latin(text) else text).replace("\n", " ").split(" ")
+            return text.lower() if self.folds and latin(text) else text
         if "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return text
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, or nothing if it can't be cut safely."""
+        text = self.ready(text)
+        if text is None:
+            return None
+        _, place, words = self.cut([text])
+        return [words[i] for i in place]
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The number of pieces of each text, the place of every piece among the different ones, and these."""
+        cut = pa.array(texts, pa.large_string())
+        if self.spaced:
+            mark, cut = "\0", pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")
+        else:
+            mark, cut = " ", pc.replace_substring(cut, "\n", " ")
+        cut = pc.split_pattern(cut, mark)
+        found = cut.flatten().dictionary_encode()
+        # no piece holds the mark, and one string is cut faster than many are made
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary),
+                               pa.scalar(mark, pa.large_string()))
+        return (pc.list_value_length(cut).to_numpy(), found.indices.to_numpy(),
+                words[0].as_py().split(mark) if len(found.dictionary) else [])
 
     def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         # a piece's number is its place in the dictionary, where unsafe pieces have places too
@@ -159,18 +187,28 @@ class WordIds:
                     self._keep(part, ids, np.diff(ends, prepend=-1))
                 else:
                     words += part
-        joint, single = [], []
-        for w in words:
-            core = w[1:] if self.spaced and w[0] == " " else w
-            if self.spaced and w not in ("\n", " ") and (not core or core[0].isspace() or core[-1].isspace()):
-                self.known[w] = UNSAFE
-            elif self.spaced and w[0] != " " or not core:
-                single.append(w)
-            else:
-                joint.append(w)
+        joint, single = words, []
+        if self.spaced:
+            odd = [w for w in words if w[0] != " " or w[-1].isspace() or w[1].isspace()]
+            if odd:
+                apart = set(odd)
+                joint = [w for w in words if w not in apart]
+            for w in odd:
+                core = w[1:] if w[0] == " " else w
+                if w not in ("\n", " ") and (core[0].isspace() or core[-1].isspace()):
+                    self.known[w] = UNSAFE
+                else:
+                    single.append(w)
         for i in range(0, len(joint), 2000):
             part = joint[i:i + 2000]
-            got = self.library.encode(("" if self.spaced else " ").join(part), add_special_tokens=False)
+            text = ("" if self.spaced else " ").join(part)
+            if self.begins is not None and text.count(" ") == len(part):
+                ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                first = np.flatnonzero(self.begins[ids])
+                if len(first) == len(part) and first[0] == 0:
+                    self._keep(part, ids, np.diff(first, append=len(ids)))
+                    continue
+            got = self.library.encode(text, add_special_tokens=False)
             size = np.fromiter(map(len, part), np.int64, len(part)) + (not self.spaced)
             begins = np.cumsum(size) - size
             at = np.array([o[0] for o in got.offsets], np.int64)
@@ -186,21 +224,23 @@ class WordIds:
         """The ids of all texts behind one another, and the number of ids of each text."""
         if len(self.known) > self.most:
             self.age()
-        cut = [self.pieces(t) for t in texts]
-        sizes = np.fromiter((len(c) if c else 0 for c in cut), np.int64, len(cut))
-        words = list(itertools.chain.from_iterable(c for c in cut if c))
+        ready = [self.ready(t) for t in texts]
+        sizes, place, words = self.cut(["" if t is None else t for t in ready])
         at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at == -1)
         if len(missing):
             new = [words[i] for i in missing]
-            self.learn(self.again(list(dict.fromkeys(new))))
+            self.learn(self.again(new))
             at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         owner = np.repeat(np.arange(len(texts)), sizes)
-        odd = {i for i, c in enumerate(cut) if c is None} | set(owner[at == UNSAFE].tolist())
-        at[at == UNSAFE] = 0
-        length = self.length[at]
+        odd = {i for i, t in enumerate(ready) if t is None}
+        unsafe = at == UNSAFE
+        if unsafe.any():
+            odd |= set(owner[unsafe[place]].tolist())
+            at[unsafe] = 0
+        length = self.length[at][place]
         total = int(length.sum())
-        begin = self.start[at] - np.cumsum(length) + length
+        begin = self.start[at][place] - np.cumsum(length) + length
         ids = self.pool[np.repeat(begin, length) + np.arange(total)]
         counts = np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64)
         if odd:

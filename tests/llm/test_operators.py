@@ -552,3 +552,33 @@ def test_letters_of_latin_texts_are_folded_and_encoded_plainly():
         got, counts = ids(some)
         want = [ids.whole(t).tolist() for t in some]
         assert counts.tolist() == [len(w) for w in want] and got.tolist() == [x for w in want for x in w]
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_piece_is_looked_up_once_a_call(name, spaced):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    encode = wordids.WordIds(tokenizer(name), spaced)
+    encode.known = Counted(encode.known)
+    texts = ["over and over again\n" * 500, "again", "", "  odd  ", "é\tè over"]
+    ids, counts = encode(texts)
+    whole = library(name)
+    assert ids.tolist() == [i for t in texts for i in whole(t)] and counts.tolist() == [len(whole(t)) for t in texts]
+    assert encode.known.asked < 40
+
+
+def test_spaced_pieces_are_told_by_the_ids_that_begin_them(monkeypatch):
+    encode = wordids.WordIds(tokenizer("byte_bpe_50k.json"), True)
+    used = []
+    kept = encode._keep
+    monkeypatch.setattr(encode, "_keep", lambda words, ids, counts: (used.append((list(words), counts.tolist())), kept(words, ids, counts)))
+    texts = ["a b's c1,2 ünï-x Ġ Ġa xĠy 日本  z q r q\ts t  <|endoftext|>", "b's \tc u"]
+    whole = library("byte_bpe_50k.json")
+    assert encode(texts)[0].tolist() == [i for t in texts for i in whole(t)]
+    for words, counts in used:
+        assert counts == [len(whole(w)) for w in words]
