@@ -23,8 +23,9 @@ BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "
 
 
 def encoder(path: str, spaced: bool) -> "WordIds":
-    """One encoder for a file and worker, kept between its tasks."""
+    """One encoder for a file and worker, kept between its tasks; whatever else was kept is freed."""
     if (path, spaced) not in KEPT:
+        KEPT.clear()
         KEPT[path, spaced] = WordIds(path, spaced)
     return KEPT[path, spaced]
 
@@ -32,7 +33,7 @@ def encoder(path: str, spaced: bool) -> "WordIds":
 class WordIds:
     """spaced: a word's leading space is part of it (byte-level files); else white space only separates."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 600_000):
+    def __init__(self, path: str, spaced: bool, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
@@ -54,6 +55,7 @@ class WordIds:
 
     def age(self) -> None:
         """Begin a new generation; of the last one, pieces that are met again move over, the one before is dropped."""
+        pa.default_memory_pool().release_unused()
         self.older = (self.known, self.start, self.length, self.pool) if hasattr(self, "known") else None
         self.known: dict[str, int] = {"": 0}
         self.start, self.length, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0

@@ -582,3 +582,13 @@ def test_spaced_pieces_are_told_by_the_ids_that_begin_them(monkeypatch):
     assert encode(texts)[0].tolist() == [i for t in texts for i in whole(t)]
     for words, counts in used:
         assert counts == [len(whole(w)) for w in words]
+
+
+def test_an_encoder_frees_what_other_operators_keep(spark):
+    wordids.KEPT["a model of other operators"] = object()
+    try:
+        encode = wordids.encoder(tokenizer("byte_bpe_50k.json"), True)
+        assert list(wordids.KEPT) == [(tokenizer("byte_bpe_50k.json"), True)]
+        assert encode.most <= 300_000  # two generations of them in each worker
+    finally:
+        wordids.forget_all()
