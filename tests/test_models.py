@@ -217,3 +217,35 @@ def test_feature_sets_share_bins(rows, monkeypatch):
     monkeypatch.setattr(search, "feature_set", sets.get)
     found = search.screen_features(train, val, 3, params, list(sets)).collect()
     assert {r["name"]: r["value"] for r in found} == pytest.approx(want) and len(binned) == 1
+
+
+@pytest.mark.parametrize("run", [
+    lambda train, val, path: fit.fit_pca_logreg(train, COLUMNS, n=2, max_iter=5)])
+def test_features_are_prepared_once_and_read_by_all_fits(rows, tmp_path, monkeypatch, run):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import PCA
+
+    plans = []
+    for kind in (PCA, LogisticRegression):
+        was = kind._fit
+        monkeypatch.setattr(kind, "_fit", lambda self, data, was=was: (
+            plans.append(data._jdf.queryExecution().optimizedPlan().toString()), was(self, data))[1])
+    run(rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0"), tmp_path)
+    assert len(plans) >= 2
+    # all evaluate stored features; what made them (indexed lines, scaled columns) is not evaluated again
+    assert all("parquet" in p and "dwell" not in p and "LineNumber" not in p for p in plans)
+
+
+def test_scaling_is_one_aggregate(spark, rows, monkeypatch):
+    asked = []
+    monkeypatch.setattr(prepare.F, "stddev_pop", lambda c: asked.append(c), raising=False)
+    got = {o["name"]: o for o in prepare.scaling(rows, ["dwell", "headway_ratio", "is_precip"])}
+    assert not asked and set(got) == {"dwell", "headway_ratio", "is_precip", "dwell_missing"}
+    table = rows.toPandas()
+    dwell = table["dwell"].fillna(table["dwell"].median())
+    for name, x in {"dwell": dwell, "headway_ratio": table["headway_ratio"], "dwell_missing": table["dwell"].isna()}.items():
+        assert (got[name]["mean"], got[name]["std"]) == pytest.approx((x.mean(), x.std(ddof=0)))
+    one = prepare.scaling(rows.limit(1), ["headway_ratio", "is_precip"])
+    assert [o["std"] for o in one] == [1.0, 1.0]
+    none = prepare.scaling(rows.withColumn("e", F.lit(None).cast("double")), ["e"])
+    assert [(o["mean"], o["std"]) for o in none] == [(0.0, 1.0), (1.0, 1.0)]
