@@ -220,7 +220,8 @@ def test_feature_sets_share_bins(rows, monkeypatch):
 
 
 @pytest.mark.parametrize("run", [
-    lambda train, val, path: fit.fit_pca_logreg(train, COLUMNS, n=2, max_iter=5)])
+    lambda train, val, path: fit.fit_pca_logreg(train, COLUMNS, n=2, max_iter=5),
+    lambda train, val, path: search.search_logreg(train, val, COLUMNS, 3, (1.0,), (1,), (1.0,), 5, f"{path}/ledger")])
 def test_features_are_prepared_once_and_read_by_all_fits(rows, tmp_path, monkeypatch, run):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import PCA
