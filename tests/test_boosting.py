@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from evengap.models import boosting, fit
+from evengap.operators import skew
 
 
 def table(spark, n=1000, seed=0, rounds=False):
@@ -191,3 +192,42 @@ def test_no_rows_or_one_class(spark):
         model = fit.fit_gbt(rows, ["a", "b"], {"max_iter": 3})
         assert model.stages[-1].numTrees == 0
         assert all(0 <= r["score"] <= 1 for r in fit.score(model, df, ["id"]).collect())
+
+
+def test_a_pass_is_one_job(spark):
+    df = table(spark, 400)
+    spec = boosting.fit_bins(df, ["a", "b"])
+    rows = boosting.Binner(spec=json.dumps(spec)).transform(df).select("bins", "y", "w", "held_out").cache()
+    rows.count()
+    jobs = []
+    for n in (1, 9, 17):
+        spark.sparkContext.setJobGroup(f"trees {n}", "")
+        _, trees, _ = boosting.boost_trees(rows, spec, {"max_iter": n, "max_leaf_nodes": 2}, None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees {n}")))
+        assert len(trees) == n
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs[1] - jobs[0] == jobs[2] - jobs[1] == 8
+
+
+def test_histograms_that_meet_in_tasks_give_the_same_trees(spark, monkeypatch):
+    df = table(spark, 600)
+    spec = boosting.fit_bins(df, ["a", "b", "LineNumber"], ["LineNumber"])
+    rows = boosting.Binner(spec=json.dumps(spec)).transform(df).select("bins", "y", "w", "held_out")
+    params = {"max_iter": 10, "max_leaf_nodes": 7, "learning_rate": 0.3}
+    here = boosting.boost_trees(rows, spec, params, 20)
+    monkeypatch.setattr(boosting, "GATHERED", 0)
+    there = boosting.boost_trees(rows, spec, params, 20)
+    assert here[2] == pytest.approx(there[2], abs=1e-12) and len(here[2]) == 11
+    assert [t.feature for t in here[1]] == [t.feature for t in there[1]]
+
+
+def test_boosting_leaves_no_tables(spark, tmp_path, monkeypatch):
+    """Rows, scores and bins are gone once the model is there; before, every few rounds left a copy of the rows."""
+    names = itertools.count()
+    monkeypatch.setattr(skew, "shared_folder", lambda spark: f"{tmp_path}/{next(names)}")
+    df = table(spark, 400)
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    model = fit.fit_gbt(df.where("not held_out"), ["a", "b"], {"max_iter": 10, "max_leaf_nodes": 3}, df.where("held_out"))
+    assert fit.pr_auc(model, df) > 0.5
+    assert next(names) >= 3 and not list(tmp_path.iterdir())
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
