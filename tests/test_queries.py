@@ -82,3 +82,15 @@ def test_scan_reads_only_what_is_used(spark):
     plan = plan_of(Tables(spark, FOLDER).hw.select("headway_sched"))
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert "l_orderkey" in read and "l_returnflag" not in read and "l_tax" not in read
+
+
+def test_model_table_deals_the_events_once(spark):
+    """Stops, stop medians and weather read the shuffle of the events; before, stops and weather made another one."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(Tables(spark, FOLDER).ds)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [line for line in plan.splitlines() if re.search(r"- Exchange hashpartitioning\((\(l_orderkey|trip_id)", line)]
+    assert len(dealt) == 2  # the other one holds a month, for the route counts
+    assert plan.count("ReusedExchange [l_orderkey") >= 3

@@ -91,3 +91,30 @@ def test_operators_agree_on_both_routes(spark):
     scored = a.selectExpr("1 AS k", "date", "coalesce(y_k1, 0) AS y", "round(1 / (1 + abs(headway_ratio)), 2) AS score"
                           ).filter("score IS NOT NULL")
     same(evaluate.score_cuts(scored), evaluate.score_cuts(scored, limit=3))
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(i).getName()) for i in range(files.size()) if "shuffle_" in files.apply(i).getName()}
+
+
+def test_lookups_and_stored_tables_leave_no_shuffle_files(spark, rows):
+    before = shuffle_files(spark)
+    assert skew.large_groups(rows.repartition(3, "id"), ["g", "pos"], 10**6) is None
+    stored = skew.durable(rows.repartition(3, "id"))
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(skew.CLEANUP) == "false" and not skew._SWITCHED
+    assert stored.count() == rows.count()
+
+
+def test_passing_tables_go_and_others_stay(spark, rows, tmp_path, monkeypatch):
+    folders = iter([f"{tmp_path}/{i}" for i in range(3)])
+    monkeypatch.setattr(skew, "shared_folder", lambda spark: next(folders))
+    kept = skew.durable(rows)
+    with pytest.raises(ValueError), skew.passing(spark):
+        skew.durable(rows)
+        with skew.passing(spark):
+            skew.durable(rows)
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["0", "1"]
+        raise ValueError
+    assert [p.name for p in tmp_path.iterdir()] == ["0"] and kept.count() == rows.count()
