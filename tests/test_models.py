@@ -5,6 +5,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from evengap.models import fit, prepare, search
+from evengap.operators import skew
 
 COLUMNS = ["dwell", "headway_ratio", "is_precip", "LineNumber"]
 
@@ -250,3 +251,18 @@ def test_scaling_is_one_aggregate(spark, rows, monkeypatch):
     assert [o["std"] for o in one] == [1.0, 1.0]
     none = prepare.scaling(rows.withColumn("e", F.lit(None).cast("double")), ["e"])
     assert [(o["mean"], o["std"]) for o in none] == [(0.0, 1.0), (1.0, 1.0)]
+
+
+def test_screens_and_horizons_leave_no_tables(rows, tmp_path, monkeypatch):
+    """Bins, scores and counts of every set and horizon are gone when the models are there."""
+    names = iter(range(1000))
+    monkeypatch.setattr(skew, "shared_folder", lambda spark: f"{tmp_path}/{next(names)}")
+    monkeypatch.setattr(search, "feature_set", lambda name: COLUMNS if name == "all" else COLUMNS[:2])
+    params = {"max_iter": 9, "max_leaf_nodes": 3}
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    got = search.screen_features(train, val, 3, params, ["all", "two"])
+    assert {r["name"]: r["value"] > 0.5 for r in got.collect()} == {"all": True, "two": True}
+    ds = rows.selectExpr("*", "y AS y_k1", "y AS y_k2", "if(id % 3 = 0, 'val', 'train') AS split").drop("y")
+    models = search.fit_horizons(ds, (1, 2), params, COLUMNS)
+    assert [models[k].stages[-1].numTrees > 0 for k in (1, 2)] == [True, True]
+    assert next(names) > 6 and not list(tmp_path.iterdir())
